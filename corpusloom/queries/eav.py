@@ -29,11 +29,11 @@ cut AS (SELECT *, CASE
     WHEN valtype <> 'timestamp' THEN NULL
     WHEN regexp_full_match(v, '\d{{8,10}}') THEN ['epoch', v]
     WHEN regexp_full_match(v, '\d{{4}}-\d{{1,2}}-\d{{1,2}}(t|\s+)\d{{1,2}}:\d{{2}}:\d{{2}}(\.\d+)?{_ZONE}')
-      THEN regexp_extract_all(v, '^(\d{{4}})', 1) || regexp_extract_all(v, '^\d{{4}}-(\d{{1,2}})-', 1) || regexp_extract_all(v, '^\d{{4}}-\d{{1,2}}-(\d{{1,2}})', 1)
+      THEN [regexp_extract(v, '^(\d{{4}})', 1)] || [regexp_extract(v, '^\d{{4}}-(\d{{1,2}})-', 1)] || [regexp_extract(v, '^\d{{4}}-\d{{1,2}}-(\d{{1,2}})', 1)]
     WHEN regexp_full_match(v, '([a-z]+,?\s+)?\d{{1,2}}[\s-]+[a-z]+[\s-]+(\d{{4}}|\d{{2}})\s+\d{{1,2}}:\d{{2}}:\d{{2}}{_ZONE}')
-      THEN regexp_extract_all(v, '[a-z]+[\s-]+(\d{{4}}|\d{{2}})\s', 1) || regexp_extract_all(v, '\d[\s-]+([a-z]{{3}})', 1) || regexp_extract_all(v, '(\d{{1,2}})[\s-]+[a-z]', 1)
+      THEN [regexp_extract(v, '[a-z]+[\s-]+(\d{{4}}|\d{{2}})\s', 1)] || [regexp_extract(v, '\d[\s-]+([a-z]{{3}})', 1)] || [regexp_extract(v, '(\d{{1,2}})[\s-]+[a-z]', 1)]
     WHEN regexp_full_match(v, '[a-z]+\s+[a-z]+\s+\d{{1,2}}\s+\d{{1,2}}:\d{{2}}:\d{{2}}\s+\d{{4}}')
-      THEN [v[-4:]] || regexp_extract_all(v, '^[a-z]+\s+([a-z]{{3}})', 1) || regexp_extract_all(v, '^[a-z]+\s+[a-z]+\s+(\d+)', 1)
+      THEN [v[-4:]] || [regexp_extract(v, '^[a-z]+\s+([a-z]{{3}})', 1)] || [regexp_extract(v, '^[a-z]+\s+[a-z]+\s+(\d+)', 1)]
     END AS p FROM num),
 part AS (SELECT *, CASE WHEN length(p[1]) = 2 THEN CASE WHEN p[1] < '70' THEN '20' ELSE '19' END || p[1] ELSE p[1] END AS y,
     coalesce(nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], p[2]), 0), try_cast(p[2] AS INT)) AS m,
