@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, tokens
+from corpusloom.functions.names import plain_name
+from corpusloom.llm import lines, neardup, packing, tokens
 from corpusloom.sources.tables import table
 
 
@@ -23,5 +24,60 @@ def p7_fill(spark, d):
     return used.select("container_id", "capacity", n.alias("containers"), "tokens", (n * F.col("capacity") - F.col("tokens")).alias("room_left"), F.round(F.col("tokens") / (n * F.col("capacity")), 6).alias("fill"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill}
-SQL: dict[str, str] = {}
+def bodies(spark, d):
+    """(page, body) rows of urlinfo."""
+    rows = table(spark, d, "urlinfo").filter(plain_name(F.col("sname")) == "body")
+    return rows.select(F.col("url_id").alias("page"), F.col("sval").alias("body"))
+
+
+def sites(spark, d):
+    """(page, site) rows of records."""
+    return table(spark, d, "records").select(F.col("url_id").alias("page"), lines.site_of(F.col("url")).alias("site"))
+
+
+def p2_found(spark, d):
+    state = lines.LineCounts(lines.MIN_PAGES)
+    crossed, own = state.merge(bodies(spark, d), sites(spark, d))
+    return lines.to_remove(own, crossed).select(F.col("page").alias("url_id"), "line_no")
+
+
+def p2_cleaned(spark, d):
+    """Each body that lost lines, without them."""
+    state = lines.LineCounts(lines.MIN_PAGES)
+    crossed, own = state.merge(bodies(spark, d), sites(spark, d))
+    texts = bodies(spark, d).filter("body is not null").distinct()
+    out = lines.rebuild(texts, lines.to_remove(own, crossed))
+    return out.select(F.col("page").alias("url_id"), "body", "removed")
+
+
+def _near(spark, d):
+    texts = bodies(spark, d).select(F.col("page").alias("id"), F.col("body").alias("text"))
+    urls = table(spark, d, "records").select(F.col("url_id").alias("id"), F.col("url").alias("text")).distinct()
+    return neardup.near_duplicates(texts, neardup.WORDS3), neardup.near_duplicates(urls, neardup.URL5)
+
+
+def p1_found(spark, d):
+    body, url = _near(spark, d)
+    both = neardup.all_pairs(body).unionByName(neardup.all_pairs(url)).distinct()
+    return both.select(F.col("a").alias("url_id_a"), F.col("b").alias("url_id_b"))
+
+
+def p1_groups(spark, d):
+    """Each page with a body: the group of near-duplicate bodies it belongs to."""
+    texts = bodies(spark, d).select(F.col("page").alias("id"), F.col("body").alias("text"))
+    return neardup.groups(neardup.near_duplicates(texts, neardup.WORDS3)).withColumnRenamed("id", "url_id")
+
+
+_LINES = r"""
+WITH site AS (SELECT url_id, min(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@\s]+)', 1)) AS s FROM records GROUP BY 1),
+body AS (SELECT DISTINCT url_id, sval FROM urlinfo WHERE replace(lower(regexp_replace(sname, '^\s+|\s+$', '', 'g')), '_', '-') = 'body' AND sval IS NOT NULL),
+line AS (SELECT url_id, unnest(string_split(sval, chr(10))) AS t, generate_subscripts(string_split(sval, chr(10)), 1) - 1 AS line_no FROM body),
+norm AS (SELECT s, url_id, line_no, regexp_replace(lower(trim(regexp_replace(t, '[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS n
+         FROM line JOIN site USING (url_id) WHERE s <> ''),
+hit AS (SELECT s, n FROM norm WHERE n <> '' GROUP BY 1, 2 HAVING count(DISTINCT url_id) >= 5)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill}
+SQL: dict[str, str] = {
+    "p2_found": _LINES + "SELECT DISTINCT url_id, CAST(line_no AS INT) AS line_no FROM norm JOIN hit USING (s, n)",
+}
