@@ -244,7 +244,7 @@ class Forest:
     recall: float
 
 
-def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor: float = 0.8) -> Forest:
+def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor: float = 0.95) -> Forest:
     """Classes and links of texts (id, text); ids are int or bigint.
 
     target: least estimated recall of the links. floor: least chance of a candidate at the threshold itself.

@@ -77,7 +77,21 @@ norm AS (SELECT s, url_id, line_no, regexp_replace(lower(trim(regexp_replace(t,
 hit AS (SELECT s, n FROM norm WHERE n <> '' GROUP BY 1, 2 HAVING count(DISTINCT url_id) >= 5)
 """
 
+_PAIRS = r"""
+WITH body AS (SELECT DISTINCT url_id, regexp_extract_all(lower(sval), '[\p{L}\p{N}]+') AS w FROM urlinfo WHERE replace(lower(regexp_replace(sname, '^\s+|\s+$', '', 'g')), '_', '-') = 'body' AND sval IS NOT NULL),
+words AS (SELECT DISTINCT url_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM body WHERE len(w) >= 3),
+u AS (SELECT DISTINCT url_id, regexp_replace(lower(url), '^.*?://', '') AS t FROM records),
+signs AS (SELECT DISTINCT url_id, unnest([substr(t, i, 5) FOR i IN range(1, length(t) - 3)]) AS s FROM u WHERE length(t) >= 5),
+wn AS (SELECT url_id, count(*) AS n FROM words GROUP BY 1),
+sn AS (SELECT url_id, count(*) AS n FROM signs GROUP BY 1),
+wc AS (SELECT a.url_id AS a, b.url_id AS b, count(*) AS c FROM words a JOIN words b ON a.s = b.s AND a.url_id < b.url_id GROUP BY 1, 2),
+sc AS (SELECT a.url_id AS a, b.url_id AS b, count(*) AS c FROM signs a JOIN signs b ON a.s = b.s AND a.url_id < b.url_id GROUP BY 1, 2)
+SELECT a AS url_id_a, b AS url_id_b FROM wc JOIN wn x ON x.url_id = a JOIN wn y ON y.url_id = b WHERE 10 * c >= 6 * (x.n + y.n - c)
+UNION SELECT a, b FROM sc JOIN sn x ON x.url_id = a JOIN sn y ON y.url_id = b WHERE 10 * c >= 7 * (x.n + y.n - c)
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill}
 SQL: dict[str, str] = {
+    "p1_found": _PAIRS,
     "p2_found": _LINES + "SELECT DISTINCT url_id, CAST(line_no AS INT) AS line_no FROM norm JOIN hit USING (s, n)",
 }
