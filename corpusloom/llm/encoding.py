@@ -86,7 +86,7 @@ def letters() -> tuple[list[str], np.ndarray]:
 
 
 def _fold(c: str) -> str:
-    if c.isspace() and c not in "\x85\xa0":
+    if c.isspace() and c != "\x85":
         return " "
     if c.isdigit() and c.isascii():
         return "0"
@@ -115,11 +115,13 @@ def _class_maps() -> np.ndarray:
     singles = SWAPS[len(PAGES) :]
     out = np.tile(np.arange(n, dtype=np.int32), (len(singles), 1))
     for k, s in enumerate(singles):
-        m = mapping(s)
-        for low_first in sorted(m, key=lambda c: chr(c).lower() != chr(c)):  # lower-case letters decide a folded class
-            i = table[low_first]
-            if out[k, i] == i:
-                out[k, i] = table[min(ord(m[low_first]), 0xFFFF)]
+        decided = set()
+        pairs = list(zip(decoded(s.read)[128:], decoded(s.written)[128:]))
+        for a, b in sorted(pairs, key=lambda ab: ab[0].lower() != ab[0]):  # lower-case letters decide a folded class
+            i = table[ord(a)]
+            if i not in decided and not letters()[0][i].isascii():
+                decided.add(i)
+                out[k, i] = table[ord(b)]
     return out
 
 
@@ -233,6 +235,14 @@ def _score(c: np.ndarray, gain: np.ndarray) -> float:
     return float(gain[c[:-1], c[1:]].sum())
 
 
+#: What each different sequence that is a known letter in UTF-8 counts beside the bigrams: by chance it would hardly be one.
+SEQUENCE = 5.0
+
+
+def _known(sign: str) -> bool:
+    return len(sign) == 1 and sign.isprintable() and classes(sign)[0] > 0
+
+
 def gains(text: str, m: Model) -> np.ndarray:
     """What each swap adds to the log likelihood of a text's bigrams, over the words that it improves."""
     out = np.zeros(len(SWAPS), np.float32)
@@ -240,22 +250,27 @@ def gains(text: str, m: Model) -> np.ndarray:
     c = classes(padded)
     base = _score(c, m.gain)
     for k, page in enumerate(PAGES):
-        if sequences(page).search(text):
-            out[k] = max(0.0, _score(classes(f" {read_utf8(text, page)} "), m.gain) - base)
+        if found := set(sequences(page).findall(text)):
+            valid = sum(_known(read_utf8(x, page)) for x in found)
+            out[k] = max(0.0, _score(classes(f" {read_utf8(text, page)} "), m.gain) - base + SEQUENCE * valid)
     points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = points > 127
     touched = high[:-1] | high[1:]
     at = np.flatnonzero(touched)
     if len(at):
         blank = np.isin(points, (9, 10, 13, 32, 160))
-        word = np.cumsum(blank)[at]
+        number = np.cumsum(blank)
+        alone = np.bincount(number[~blank], minlength=number[-1] + 1) < 2  # nor does what a lone sign would become
+        word = number[at]
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         maps = _class_maps()
         a, b = c[at], c[at + 1]
+        inner = np.where(blank[at], number[at + 1], word)
+        solid = (points[at] != 160) & (points[at + 1] != 160) & ~alone[inner] & ~alone[word]  # what a no-break space would become proves nothing
         before = m.gain[a, b]
         for k in range(0, len(maps), 32):
             part = maps[k : k + 32]
-            change = m.gain[part[:, a], part[:, b]] - before
+            change = (m.gain[part[:, a], part[:, b]] - before) * solid
             out[len(PAGES) + k : len(PAGES) + k + len(part)] = np.maximum(np.add.reduceat(change, first, axis=1), 0).sum(1)
     return out
 
@@ -270,6 +285,7 @@ def marked(values: DataFrame, m: Model, keys: list[str], text: str = "sval") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_ = shared.value
+        words = _WordGains(model_)
         for b in batches:
             texts = b.column(len(keys)).to_pylist()
             rows, lost, swaps, worth = [], [], [], []
@@ -278,15 +294,13 @@ def marked(values: DataFrame, m: Model, keys: list[str], text: str = "sval") ->
                 hits = np.flatnonzero(model_.odd[c[:-1], c[1:]])
                 for j in np.unique(np.searchsorted(starts, hits, "right") - 1).tolist():
                     t = texts[at[j]]
-                    g = gains(t, model_)
+                    best, gain = ranked(t, model_, words)
                     gone = _LOST.search(t) is not None
-                    best = np.argsort(-g, kind="stable")[:KEPT]
-                    best = best[g[best] > 1]
-                    if gone or len(best):
+                    if gone or best:
                         rows.append(at[j])
                         lost.append(gone)
-                        swaps.append(best.tolist())
-                        worth.append(g[best].astype(float).tolist())
+                        swaps.append(best)
+                        worth.append(gain)
             if rows:
                 part = b.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], part.columns[-1].cast(pa.string()), pa.array(lost), pa.array(swaps, pa.list_(pa.int32())), pa.array(worth, pa.list_(pa.float64()))], names=schema.names)
@@ -326,26 +340,68 @@ def _by_id():
 
 def restore_text(text: str, swap: int, m: Model) -> str:
     """The text under a swap, in the words that it improves; again while another UTF-8 reading improves it."""
-    s = SWAPS[swap]
+    s, words = SWAPS[swap], _WordGains(m)
     for turn in range(TIMES):
         if s.written == "utf-8":
             new = read_utf8(text, s.read)
         else:
             table = mapping(s)
-            new = "".join(w.translate(table) if _better(w, table, m) else w for w in re.split(r"(\s+)", text))
+            parts = re.split(r"([ \t\r\n]+)", text)
+            good = [bool(words[swap, w]) for w in parts]
+            # A sign alone follows the words around it.
+            new = "".join(w.translate(table) if good[i] or len(w) == 1 and (i > 1 and good[i - 2] or i + 2 < len(parts) and good[i + 2]) else w for i, w in enumerate(parts))
         if new == text:
             break
         text = new
         again = gains(text, m)[: len(PAGES)]
         if again.max() < 8 or turn + 1 == TIMES:
             break
-        s = SWAPS[int(again.argmax())]
+        swap = int(again.argmax())
+        s = SWAPS[swap]
     return text
 
 
-def _better(word: str, table: dict[int, str], m: Model) -> bool:
-    new = word.translate(table)
-    return new != word and _score(classes(f" {new} "), m.gain) > _score(classes(f" {word} "), m.gain)
+#: What a word has to gain before it counts as improved, and words whose gains are remembered.
+LEAST, WORDS = 3.0, 200_000
+_ODD_WORD = re.compile(r"[A-Za-z\u00c0-\u024f][^\s\w]*[\u0400-\u04ff]|[\u0400-\u04ff][^\s\w]*[A-Za-z\u00c0-\u024f]|[\u2190-\u2bff\u0080-\u009f\ufffd]")
+
+
+def _plausible(word: str) -> bool:
+    """Whether a word is of one script, without signs of drawings, and has no capital after a small letter."""
+    if _ODD_WORD.search(word) or any(a.isdigit() and b.isalpha() and not b.isascii() or b.isdigit() and a.isalpha() and not a.isascii() for a, b in zip(word, word[1:])):
+        return False
+    return not any(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+
+
+class _WordGains(dict):
+    """By (swap, word): what the word gains under a single-byte swap, 0 if that is too little or the new word implausible."""
+
+    def __init__(self, m: Model):
+        self.m = m
+
+    def __missing__(self, key: tuple[int, str]) -> float:
+        swap, word = key
+        new = word.translate(mapping(SWAPS[swap]))
+        value = 0.0
+        if new != word and len(word.strip("\xa0")) > 1 and new.count("\xa0") <= word.count("\xa0") and _plausible(new):
+            value = _score(classes(f" {new} "), self.m.gain) - _score(classes(f" {word} "), self.m.gain)
+        if len(self) >= WORDS:
+            self.clear()
+        self[key] = value = value if value > LEAST else 0.0
+        return value
+
+
+def ranked(text: str, m: Model, words: _WordGains) -> tuple[list[int], list[float]]:
+    """The best swaps of a text with their gains; those of single-byte swaps are summed anew over plausible words."""
+    g = gains(text, m)
+    best = [k for k in np.argsort(-g, kind="stable")[: 2 * KEPT].tolist() if g[k] > LEAST]
+    if any(k >= len(PAGES) for k in best):
+        own = [w for w in re.split(r"[ \t\r\n]+", text) if not w.isascii()]
+        for k in best:
+            if k >= len(PAGES):
+                g[k] = sum(words[k, w] for w in own)
+    best = sorted((k for k in best if g[k] > LEAST), key=lambda k: (-g[k], k))[:KEPT]
+    return best, [float(g[k]) for k in best]
 
 
 @dataclass

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import plain_name
-from corpusloom.llm import lines, neardup, packing, tokens
+from corpusloom.llm import encoding, language, lines, neardup, packing, quality, tokens
+from corpusloom.operators.eav import section_registry
 from corpusloom.sources.tables import table
 
 
@@ -68,6 +69,55 @@ def p1_groups(spark, d):
     return neardup.groups(neardup.near_duplicates(texts, neardup.WORDS3)).withColumnRenamed("id", "url_id")
 
 
+P3_KEYS = ["src", "url_id", "sname"]
+
+
+def _garbled(spark, d):
+    names = [n for n, kind, _ in section_registry(table(spark, d, "sections")) if kind == "string"]
+    info = table(spark, d, "urlinfo").select(F.lit("urlinfo").alias("src"), "url_id", plain_name(F.col("sname")).alias("sname"), "sval").filter(F.col("sname").isin(names))
+    titles = table(spark, d, "records").select(F.lit("records").alias("src"), "url_id", F.lit("title").alias("sname"), F.col("title").alias("sval"))
+    values = info.unionByName(titles).filter("sval is not null and sval <> ''")
+    pages = table(spark, d, "url").select(F.col("rec_id").alias("id"), lines.site_of(F.col("url")).alias("source"))
+    return encoding.find(values, pages, P3_KEYS)
+
+
+def p3_found(spark, d):
+    return _garbled(spark, d).places.select(*P3_KEYS).distinct()
+
+
+def p3_restored(spark, d):
+    return encoding.restored(_garbled(spark, d), P3_KEYS)
+
+
+def _stretches(spark, d):
+    texts = bodies(spark, d).select(F.col("page").alias("id"), F.col("body").alias("text"))
+    return language.stretches(texts, language.train_from(texts, table(spark, d, "stopwords")))
+
+
+def p4_found(spark, d):
+    rows = table(spark, d, "urlinfo").filter(plain_name(F.col("sname")) == "content-language")
+    labels = rows.select(F.col("url_id").alias("id"), F.col("sval").alias("label"))
+    return language.missing_labels(_stretches(spark, d), labels).select(F.col("id").alias("url_id"), "lang")
+
+
+def p4_stretches(spark, d):
+    """Each body's stretches with language and confidence."""
+    return _stretches(spark, d).withColumnRenamed("id", "url_id")
+
+
+def p4_documents(spark, d):
+    """Each body's language with a confidence."""
+    return language.documents(_stretches(spark, d)).withColumnRenamed("id", "url_id")
+
+
+def p8_found(spark, d):
+    return quality.kinds(table(spark, d, "documents"), table(spark, d, "stopwords")).filter("kind is not null").select("doc_id", "kind")
+
+
+def p8_statistics(spark, d):
+    return quality.kinds(table(spark, d, "documents"), table(spark, d, "stopwords"))
+
+
 _LINES = r"""
 WITH site AS (SELECT url_id, min(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@\s]+)', 1)) AS s FROM records GROUP BY 1),
 body AS (SELECT DISTINCT url_id, sval FROM urlinfo WHERE replace(lower(regexp_replace(sname, '^\s+|\s+$', '', 'g')), '_', '-') = 'body' AND sval IS NOT NULL),
@@ -90,7 +140,7 @@ SELECT a AS url_id_a, b AS url_id_b FROM wc JOIN wn x ON x.url_id = a JOIN wn y
 UNION SELECT a, b FROM sc JOIN sn x ON x.url_id = a JOIN sn y ON y.url_id = b WHERE 10 * c >= 7 * (x.n + y.n - c)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_stretches": p4_stretches, "p4_documents": p4_documents, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_statistics": p8_statistics}
 SQL: dict[str, str] = {
     "p1_found": _PAIRS,
     "p2_found": _LINES + "SELECT DISTINCT url_id, CAST(line_no AS INT) AS line_no FROM norm JOIN hit USING (s, n)",
