@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Pattern of a word: a run of letters and digits. A loose word keeps other signs attached.
 WORD, LOOSE_WORD = r"[\p{L}\p{N}]+", r"[^\s]*[\p{L}\p{N}][^\s]*"
@@ -72,14 +73,14 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode normal form C."""
     for s in texts:
         yield s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Character references and entities as their signs."""
     import html

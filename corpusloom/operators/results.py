@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from corpusloom.config import MAX_PAGE_SIZE, PAGE_SIZE
@@ -114,7 +115,7 @@ def _edge(text: str, i: int) -> int:
 def excerpts(terms: list[str], size: int = 256, padding: int = 40):
     """excerpt as a function of a text column, for the rows of a page."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield s.map(lambda t: excerpt(t, terms, size, padding), na_action="ignore")
