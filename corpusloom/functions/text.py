@@ -55,8 +55,8 @@ def collapse_spaces(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences of a text: stretches that end after . ! ? or … and closing quotation marks before white space, or at a line end."""
-    parts = F.split(F.regexp_replace(text, r"([.!?…]['\"”»’)]*)\s+", "$1\n"), r"\n+")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    parts = F.split(F.regexp_replace(text, r"([.!?…]['\"”»’)]*)[ \t\r\n\f]+", "$1\n"), r"\n+")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def pack_position(position: Column, section: Column, length: Column) -> Column:

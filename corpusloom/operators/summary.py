@@ -36,10 +36,18 @@ def summaries(texts: DataFrame, most: int = 30, least_chars: int = 20) -> DataFr
     return ranked.select("doc_id", text.alias("summary"))
 
 
+def grams_of(signs: Column, length: int) -> Column:
+    """The sequences of so many signs of an array of signs, in one pass (null where it ends)."""
+    out = signs
+    for k in range(1, length):
+        out = F.zip_with(out, F.slice(signs, k + 1, F.greatest(F.size(signs) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    return out
+
+
 def gram_profiles(texts: DataFrame, key: str, length: int = 3, most: int = 150) -> DataFrame:
     """(key, gram, rank): the most frequent grams of all texts of a key (ties by gram). Counts collapse on the map side."""
     t = F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}]+", " ")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - length + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(length)))
+    cut = F.transform(F.array(F.split(t, "")), lambda signs: grams_of(signs, length))[0]  # binds the signs once
     counts = texts.filter("text is not null").select(key, F.explode(cut).alias("gram")).filter(F.length("gram") == length).groupBy(key, "gram").agg(F.count("*").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "gram")))
     return top.filter(F.col("rank") <= most).select(key, "gram", "n", "rank")

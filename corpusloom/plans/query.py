@@ -231,10 +231,12 @@ def evaluate(node: Node, post: DataFrame, documents: DataFrame | None = None) ->
         if isinstance(n, Word):
             return F.coalesce(at(n), F.array().cast("array<bigint>"))
         if isinstance(n, Phrase):
-            starts = [F.transform(F.coalesce(at(w), F.array().cast("array<bigint>")), lambda c, k=k: c - k) for k, w in enumerate(n.words)]
-            return reduce(F.array_intersect, starts)
+            return reduce(F.array_intersect, [shifted(places(w), k) for k, w in enumerate(n.words)])
         return reduce(F.array_union, map(places, n.parts))
 
+    def shifted(codes: Column, by: int) -> Column:
+        return F.transform(codes, lambda x: x - by)
+
     def within(a: Node, b: Node, test) -> Column:
         return F.exists(places(a), lambda x: F.exists(places(b), lambda y: test(F.abs(place(x) - place(y)))))
 
