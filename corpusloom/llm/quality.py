@@ -48,52 +48,59 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def statistics(df: DataFrame, common: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row (key, statistics) for each row of df."""
+#: Each statistic with the counts it is made of: a share of two counts, rounded to six decimals, or a count.
+SHARES = {
+    "mean_word_length": ("letters", "n_words"), "symbol_ratio": ("signs", "visible"), "digit_ratio": ("digits", "visible"), "strange_ratio": ("strange", "visible"),
+    "ended_lines": ("ended", "n_lines"), "wordy_lines": ("wordy", "n_lines"), "sentences_per_line": ("sentences", "n_lines"), "fielded_lines": ("fielded", "n_lines"), "marked_lines": ("marked", "n_lines"),
+    "tokens_per_line": ("tokens", "n_lines"), "common_words": ("n_common", "n_words"), "distinct_share": ("n_distinct", "n_words"), "coded_share": ("coded", "visible"), "hex_share": ("hex", "tokens"), "markup_share": ("markup", "visible"),
+}
+COUNTS = {"chars": "n_chars", "lines": "n_lines", "words": "n_words", "distinct_words": "n_distinct"}
+STATISTICS = [*COUNTS, *SHARES]
+
+
+def statistics(df: DataFrame, common: list[str], text: str = "text", key: str = "doc_id", wanted: list[str] | None = None) -> DataFrame:
+    """One row (key, statistics) for each row of df: all of STATISTICS, or those wanted (then other counts are not taken)."""
+    names = [n for n in STATISTICS if wanted is None or n in wanted]
+    needed = {COUNTS[n] for n in names if n in COUNTS} | {c for n in names if n in SHARES for c in SHARES[n]}
+    if "signs" in needed:
+        needed |= {"visible", "letters", "digits"}
     # The inner explode keeps later filters from being pushed below, where they would compute all of it again.
     t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
     rows = df.select(F.col(key).alias("k"), F.explode(F.array(t)).alias("t"))
     t = F.col("t")
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+"), 0)
-    counts = F.struct(
-        F.length(t).alias("chars"),
-        _left(t, r"\s+").alias("visible"),
-        _left(t, r"[^\p{L}]+").alias("letters"),
-        _left(t, r"[^\p{N}]+").alias("digits"),
-        _left(t, r"[^\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\x{fffd}]+").alias("strange"),
-        _count(t, r"\S++[^\n]*+").alias("lines"),
-        _count(t, r"\S++").alias("tokens"),
-        _count(t, r"(?m)[.!?…:]['\"”»’)]*+[ \t]*+$").alias("ended"),
-        _count(t, r"(?m)^(?:[^\n\S]*+\S++){6}").alias("wordy"),
-        _count(t, r"[.!?…]['\"”»’)]*+(?=\s|$)").alias("sentences"),
-        _count(t, f"(?m){_FIELDS}").alias("fielded"),
-        _count(t, f"(?m){_MARKER}").alias("marked"),
-        F.length(F.array_join(F.regexp_extract_all(t, F.lit("[A-Za-z0-9+/=]{24,}+"), 0), "")).alias("coded"),
-        _count(t, r"(?<!\S)[0-9a-fA-F]{2}(?!\S)").alias("hex"),
-        F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"<[^<>\n]{0,40}+>|&#?+\w{1,8}+;|[{}]|//"), 0), "")).alias("markup"),
-        F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("all"), F.size(F.array_distinct(w)).alias("distinct"), F.size(F.filter(w, lambda x: x.isin(common) if common else F.lit(False))).alias("common")))[0].alias("words"),
-    )
+    found = lambda p: F.length(F.array_join(F.regexp_extract_all(t, F.lit(p), 0), ""))
+    counts = {
+        "n_chars": lambda: F.length(t),
+        "visible": lambda: _left(t, r"\s+"),
+        "letters": lambda: _left(t, r"[^\p{L}]+"),
+        "digits": lambda: _left(t, r"[^\p{N}]+"),
+        "strange": lambda: _left(t, r"[^\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\x{fffd}]+"),
+        "n_lines": lambda: _count(t, r"\S++[^\n]*+"),
+        "tokens": lambda: _count(t, r"\S++"),
+        "ended": lambda: _count(t, r"(?m)[.!?…:]['\"”»’)]*+[ \t]*+$"),
+        "wordy": lambda: _count(t, r"(?m)^(?:[^\n\S]*+\S++){6}"),
+        "sentences": lambda: _count(t, r"[.!?…]['\"”»’)]*+(?=\s|$)"),
+        "fielded": lambda: _count(t, f"(?m){_FIELDS}"),
+        "marked": lambda: _count(t, f"(?m){_MARKER}"),
+        "coded": lambda: found("[A-Za-z0-9+/=]{24,}+"),
+        "hex": lambda: _count(t, r"(?<!\S)[0-9a-fA-F]{2}(?!\S)"),
+        "markup": lambda: found(r"<[^<>\n]{0,40}+>|&#?+\w{1,8}+;|[{}]|//"),
+    }
+    fields = [make().alias(n) for n, make in counts.items() if n in needed]
+    if needed & {"n_distinct", "n_common"}:  # the words themselves
+        words = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+"), 0)
+        known = (lambda x: x.isin(common)) if common else (lambda x: F.lit(False))
+        fields.append(F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"), F.size(F.filter(w, known)).alias("n_common")))[0].alias("w"))
+    elif "n_words" in needed:
+        fields.append(F.struct(_count(t, r"[\p{L}\p{N}]++").alias("n_words")).alias("w"))
     # The struct is passed through a generator for the same reason.
-    c = rows.select("k", F.explode(F.array(counts)).alias("c")).select("k", "c.*").select("*", F.col("words.all").alias("n_words"), F.col("words.distinct").alias("n_distinct"), F.col("words.common").alias("n_common"))
+    c = rows.select("k", F.explode(F.array(F.struct(*fields))).alias("c")).select("k", "c.*")
+    if needed & {"n_words", "n_distinct", "n_common"}:
+        c = c.select("*", "w.*").drop("w")
+    if "signs" in needed:
+        c = c.withColumn("signs", F.col("visible") - F.col("letters") - F.col("digits"))
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
-    return c.select(
-        F.col("k").alias(key), "chars", F.col("lines").alias("lines"), F.col("n_words").alias("words"), F.col("n_distinct").alias("distinct_words"),
-        share("letters", "n_words").alias("mean_word_length"),
-        F.when(F.col("visible") > 0, F.round((F.col("visible") - F.col("letters") - F.col("digits")) / F.col("visible"), 6)).alias("symbol_ratio"),
-        share("digits", "visible").alias("digit_ratio"),
-        share("strange", "visible").alias("strange_ratio"),
-        share("ended", "lines").alias("ended_lines"),
-        share("wordy", "lines").alias("wordy_lines"),
-        share("sentences", "lines").alias("sentences_per_line"),
-        share("fielded", "lines").alias("fielded_lines"),
-        share("marked", "lines").alias("marked_lines"),
-        share("tokens", "lines").alias("tokens_per_line"),
-        share("n_common", "n_words").alias("common_words"),
-        share("n_distinct", "n_words").alias("distinct_share"),
-        share("coded", "visible").alias("coded_share"),
-        share("hex", "tokens").alias("hex_share"),
-        share("markup", "visible").alias("markup_share"),
-    )
+    return c.select(F.col("k").alias(key), *[(F.col(COUNTS[n]) if n in COUNTS else share(*SHARES[n])).alias(n) for n in names])
 
 
 FEATURES = ["lines", "words", "distinct_words", "mean_word_length", "symbol_ratio", "digit_ratio", "strange_ratio", "ended_lines", "wordy_lines", "sentences_per_line", "fielded_lines", "marked_lines", "tokens_per_line", "common_words", "distinct_share", "coded_share", "hex_share", "markup_share"]
@@ -217,9 +224,12 @@ def common_words(stopwords: DataFrame) -> list[str]:
     return sorted(got)
 
 
-def kinds(df: DataFrame, stopwords: DataFrame, rules: list[Rule] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The statistics of each row with its kind: list, table, junk, or null for prose."""
-    return statistics(df, common_words(stopwords), text, key).withColumn("kind", F.expr(case_sql(load() if rules is None else rules)))
+def kinds(df: DataFrame, stopwords: DataFrame, rules: list[Rule] | None = None, text: str = "text", key: str = "doc_id", only_kind: bool = False) -> DataFrame:
+    """The statistics of each row with its kind: list, table, junk, or null for prose. only_kind: without statistics that the rules do not ask for."""
+    rules = load() if rules is None else rules
+    wanted = sorted({c.feature for _, r in rules for c in r} | {"words", "symbol_ratio", "strange_ratio"}) if only_kind else None
+    common = common_words(stopwords) if wanted is None or "common_words" in wanted else []
+    return statistics(df, common, text, key, wanted).withColumn("kind", F.expr(case_sql(rules)))
 
 
 def train(df: DataFrame, stopwords: DataFrame, label, rows: int = TRAINING_ROWS, path: Path | None = None) -> list[Rule]:

@@ -111,7 +111,7 @@ def p4_documents(spark, d):
 
 
 def p8_found(spark, d):
-    return quality.kinds(table(spark, d, "documents"), table(spark, d, "stopwords")).filter("kind is not null").select("doc_id", "kind")
+    return quality.kinds(table(spark, d, "documents"), table(spark, d, "stopwords"), only_kind=True).filter("kind is not null").select("doc_id", "kind")
 
 
 def p8_statistics(spark, d):
