@@ -74,7 +74,7 @@ NAMES = [s.name for s in SWAPS]
 @lru_cache(None)
 def letters() -> tuple[list[str], np.ndarray]:
     """The folded signs of the model (0 is any other), and the class of each code point below 0x10000."""
-    signs = {c for p in PAGES for c in decoded(p)} | set("„“”’«»—–…№")
+    signs = {c for p in PAGES for c in decoded(p)} | set("„“”’«»—–…№\ufffd") | set(map(chr, range(0x80, 0xA0)))
     folded = sorted({_fold(c) for c in signs})[: ALPHABET - 1]
     number = {c: i + 1 for i, c in enumerate(folded)}
     table = np.zeros(0x10000, np.int32)
@@ -224,9 +224,8 @@ def model(counts: np.ndarray) -> Model:
     ascii_ = np.array([bool(s) and s.isascii() for s in signs])
     odd[np.ix_(ascii_, ascii_)] = False
     for c in (*range(0x80, 0xA0), 0xFFFD):
-        if c != 0x85 and (i := table[c] if c < 0x10000 else 0):
-            odd[i, :] = odd[:, i] = True
-    odd[0, :] |= counts[0, :] < RARE * total
+        if c != 0x85:
+            odd[table[c], :] = odd[:, table[c]] = True
     gain = np.log((kept + 0.5) / (total + 0.5 * n * n) * n * n)
     return Model(gain.astype(np.float32), odd)
 
