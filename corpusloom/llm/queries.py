@@ -42,6 +42,16 @@ def p2_found(spark, d):
     return lines.to_remove(own, crossed).select(F.col("page").alias("url_id"), "line_no")
 
 
+def p2_increments(spark, d):
+    """The lines of p2_found, by three deltas of pages merged one after another."""
+    state, own = lines.LineCounts(lines.MIN_PAGES), None
+    part = F.pmod(F.xxhash64("page"), F.lit(3))
+    for k in range(3):
+        new = state.merge(bodies(spark, d).filter(part == k), sites(spark, d))[1]
+        own = new if own is None else own.unionByName(new)
+    return lines.to_remove(own, state.crossed()).select(F.col("page").alias("url_id"), "line_no")
+
+
 def p2_cleaned(spark, d):
     """Each body that lost lines, without them."""
     state = lines.LineCounts(lines.MIN_PAGES)
@@ -140,8 +150,6 @@ SELECT a AS url_id_a, b AS url_id_b FROM wc JOIN wn x ON x.url_id = a JOIN wn y
 UNION SELECT a, b FROM sc JOIN sn x ON x.url_id = a JOIN sn y ON y.url_id = b WHERE 10 * c >= 7 * (x.n + y.n - c)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_stretches": p4_stretches, "p4_documents": p4_documents, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_statistics": p8_statistics}
-SQL: dict[str, str] = {
-    "p1_found": _PAIRS,
-    "p2_found": _LINES + "SELECT DISTINCT url_id, CAST(line_no AS INT) AS line_no FROM norm JOIN hit USING (s, n)",
-}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_increments": p2_increments, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_stretches": p4_stretches, "p4_documents": p4_documents, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_statistics": p8_statistics}
+_REPEATED = _LINES + "SELECT DISTINCT url_id, CAST(line_no AS INT) AS line_no FROM norm JOIN hit USING (s, n)"
+SQL: dict[str, str] = {"p1_found": _PAIRS, "p2_found": _REPEATED, "p2_increments": _REPEATED}
