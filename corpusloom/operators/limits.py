@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ def like_or_equal(col: Column, values: list[str]) -> Column:
 
 def url_limit(col: Column, values: list[str]) -> Column:
     """A prefix if the value is an absolute URL, else a part."""
-    return any_of([col.startswith(v) if "://" in v.split("/")[0] + "//" and v.split(":")[0].isalpha() and "://" in v else col.contains(v) for v in values if v])
+    return any_of([col.startswith(v) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", v) else col.contains(v) for v in values if v])
 
 
 def changed_since(col: Column, now: int, seconds: int) -> Column:

@@ -56,12 +56,10 @@ def gram_profiles(texts: DataFrame, key: str, length: int = 3, most: int = 150)
 def guess(documents: DataFrame, models: DataFrame, length: int = 3, most: int = 150) -> DataFrame:
     """(doc_id, lang): the model (lang, gram, rank) with the least sum of rank differences over a document's profile; a missing gram counts `most`."""
     own = gram_profiles(documents, "doc_id", length, most).select("doc_id", "gram", F.col("rank").alias("r"))
-    langs = models.select("lang").distinct()
     sizes = own.groupBy("doc_id").agg(F.count("*").alias("grams"))
     near = own.join(F.broadcast(models.select("lang", "gram", F.col("rank").alias("m"))), "gram")  # at most `most` rows a language
     seen = near.groupBy("doc_id", "lang").agg(F.sum(F.abs(F.col("r") - F.col("m"))).alias("diff"), F.count("*").alias("hit"))
     scored = seen.join(sizes, "doc_id").withColumn("distance", F.col("diff") + (F.col("grams") - F.col("hit")) * most)
-    del langs
     return scored.groupBy("doc_id").agg(F.min(F.struct("distance", "lang")).alias("b")).select("doc_id", F.col("b.lang").alias("lang"))
 
 

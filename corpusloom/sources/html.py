@@ -17,7 +17,6 @@ PAGE = T.StructType([
 ])
 _LINKS = {"a": "href", "area": "href", "frame": "src", "iframe": "src", "img": "src", "link": "href", "script": "src"}
 _BLOCKS = {"p", "br", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "pre", "hr"}
-_OFF = ("noindex", "UdmComment")
 
 
 class _Reader(HTMLParser):
@@ -74,10 +73,8 @@ class _Reader(HTMLParser):
 
     def handle_comment(self, data):
         word = data.strip()
-        if word in _OFF:
-            self.off = True
-        elif word in ("/noindex", "/UdmComment"):
-            self.off = False
+        if word in ("noindex", "/noindex"):
+            self.off = word == "noindex"
 
     def handle_data(self, data):
         if self.in_title:
