@@ -60,9 +60,9 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once a session."""
+    """Send this package to the Python workers, once a session: they need not have it on their path, in local mode neither."""
     sc = spark.sparkContext
-    if sc.master.startswith(("local[", "local")) and not sc.master.startswith("local-cluster") or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     data = io.BytesIO()
