@@ -249,9 +249,13 @@ def gains(text: str, m: Model) -> np.ndarray:
     c = classes(padded)
     base = _score(c, m.gain)
     for k, page in enumerate(PAGES):
-        if found := set(sequences(page).findall(text)):
-            valid = sum(_known(read_utf8(x, page)) for x in found)
-            out[k] = max(0.0, _score(classes(f" {read_utf8(text, page)} "), m.gain) - base + SEQUENCE * valid)
+        now, valid = text, 0
+        for _ in range(TIMES):  # text garbled twice gains only when it is put right twice
+            if not (found := set(sequences(page).findall(now))):
+                break
+            valid += sum(_known(read_utf8(x, page)) for x in found)
+            now = read_utf8(now, page)
+            out[k] = max(out[k], _score(classes(f" {now} "), m.gain) - base + SEQUENCE * valid)
     points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = points > 127
     touched = high[:-1] | high[1:]
