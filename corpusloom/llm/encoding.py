@@ -3,12 +3,15 @@
 A swap is a pair (read as, written in). A single-byte swap is a substitution cipher of letters; text written in UTF-8
 and read as a single-byte encoding replaces one letter by two or three signs. Which swap a source has suffered from is unknown.
 
-1. Letter bigrams of all texts are counted (one pass; the table is bounded by the alphabet). Bigrams that are explained
-   as a UTF-8 sequence of a much more frequent letter are taken out of the model.
-2. A second pass marks values that hold an improbable bigram, and gives for each the gain in bigram likelihood under each
-   swap, over the words which the swap improves (so a value may be affected in part).
-3. Expectation-maximization over the marked values: the chance of each swap by source (with the whole collection behind
-   it), and with it the mapping of signs to letters, the swap-weighted mean of the code pages' tables.
+1. Letter bigrams of all texts are counted (one pass; the table is bounded by the alphabet), and once more by groups into
+   which sources are hashed. Each group has a model in which its own counts hardly weigh, so damage that fills a source is
+   as improbable there as it is elsewhere. Bigrams that are explained as a UTF-8 sequence of a much more frequent letter
+   are taken out of the models.
+2. Every value with a sign beyond ASCII is scored: the gain in bigram likelihood under each swap, over the words which the
+   swap improves (so a value may be affected in part).
+3. Expectation-maximization over the values that gain: the chance of each swap by source (with the whole collection behind
+   it). A swap's mapping of signs to letters is the code pages' own table; swaps outside PAGES are found only where they
+   leave C1 controls or U+FFFD.
 4. A value is affected if a swap is likelier than none; it is restored with translate() (single-byte swaps) or by reading
    the sequences as UTF-8, repeated while it helps (text garbled twice).
 
@@ -20,7 +23,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,8 +39,10 @@ from corpusloom.session import materialize
 PAGES = ["cp1252", "latin-1", "cp1250", "cp1251", "iso8859-2", "iso8859-5", "iso8859-15", "koi8-r", "cp866", "cp437", "cp850", "cp852", "mac-roman", "mac-cyrillic"]
 #: Letters (folded) the model knows; others are one sign. Values are worked on up to so many characters at once.
 ALPHABET, CHUNK = 512, 1_000_000
-#: Share of all bigrams below which one is improbable, and share of a letter's bigrams below which a sequence that is this letter in UTF-8 is taken as garbled.
-RARE, GARBLED = 1e-6, 0.05
+#: Share of a letter's bigrams up to which a sequence that is this letter in UTF-8 is taken as garbled.
+GARBLED = 0.05
+#: Groups that sources are hashed into, each with a model of the other groups, and the weight of a group in its own model.
+GROUPS, OWN = 16, 0.02
 #: Rounds of EM, and values that the whole collection counts for in the prior of a source.
 ROUNDS, BEHIND = 3, 50.0
 #: Swaps kept for each value, and times a text may have been garbled.
@@ -108,21 +113,27 @@ def mapping(swap: Swap) -> dict[int, str]:
 
 
 @lru_cache(None)
-def _class_maps() -> np.ndarray:
-    """Classes under each single-byte swap, one row a swap."""
+def _sign_maps() -> tuple[np.ndarray, np.ndarray]:
+    """The number of each code point below 0x10000 (0 is any sign the model does not know), and the classes of the numbers: first as they are, then under each single-byte swap."""
     table = letters()[1]
-    n = len(letters()[0])
-    singles = SWAPS[len(PAGES) :]
-    out = np.tile(np.arange(n, dtype=np.int32), (len(singles), 1))
-    for k, s in enumerate(singles):
-        decided = set()
-        pairs = list(zip(decoded(s.read)[128:], decoded(s.written)[128:]))
-        for a, b in sorted(pairs, key=lambda ab: ab[0].lower() != ab[0]):  # lower-case letters decide a folded class
-            i = table[ord(a)]
-            if i not in decided and not letters()[0][i].isascii():
-                decided.add(i)
-                out[k, i] = table[ord(b)]
-    return out
+    signs = sorted({*map(chr, np.flatnonzero(table).tolist()), *(c for p in PAGES for c in decoded(p))})
+    number = np.zeros(0x10000, np.int32)
+    number[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+    rows = [[0, *(table[ord(mapping(s).get(ord(c), c) if s else c)] for c in signs)] for s in (None, *SWAPS[len(PAGES) :])]
+    return number, np.array(rows, np.int32)
+
+
+@lru_cache(None)
+def _lead_and_tail() -> tuple[np.ndarray, np.ndarray]:
+    """By code point below 0x10000 a bit for each page: whether the sign starts a UTF-8 sequence read as the page, and whether it goes on with one."""
+    lead, tail = np.zeros(0x10000, np.int32), np.zeros(0x10000, np.int32)
+    for k, page in enumerate(PAGES):
+        for b, c in enumerate(decoded(page)):
+            if 0xC2 <= b <= 0xF4:
+                lead[ord(c)] |= 1 << k
+            elif 0x80 <= b <= 0xBF:
+                tail[ord(c)] |= 1 << k
+    return lead, tail
 
 
 @lru_cache(None)
@@ -154,30 +165,46 @@ def read_utf8(text: str, read: str) -> str:
 
 @dataclass
 class Model:
-    """gain[a, b]: log of the bigram's chance over that of an even spread. odd[a, b]: whether it marks a value."""
+    """gain[a, b]: log of the bigram's chance over that of an even spread."""
 
     gain: np.ndarray
-    odd: np.ndarray
 
 
 def bigram_counts(values: DataFrame, text: str = "sval") -> np.ndarray:
     """Counts of class bigrams over all texts: summed by task, then over at most (number of classes)² rows."""
+    return _counts(values.select(F.lit(0).alias("group"), text), 1)[0]
+
+
+def group_counts(held: DataFrame, text: str = "sval") -> np.ndarray:
+    """The counts of each group of sources (group, text), of bigrams with a sign beyond ASCII."""
+    counts = _counts(held.select("group", text), GROUPS)
+    ascii_ = _ascii()
+    counts[:, np.ix_(ascii_, ascii_)[0], np.ix_(ascii_, ascii_)[1]] = 0
+    return counts
+
+
+def _ascii() -> np.ndarray:
+    return np.array([bool(s) and s.isascii() for s in letters()[0]])
+
+
+def _counts(rows: DataFrame, groups: int) -> np.ndarray:
     n = len(letters()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, np.int64)
+        total = np.zeros((groups, n * n), np.int64)
         for b in batches:
-            for _, joined, _ in _joined(b.column(0).to_pylist()):
-                c = classes(joined).astype(np.int64)
-                total += np.bincount(c[:-1] * n + c[1:], minlength=n * n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bigram", "n"])
+            group = np.asarray(b.column(0))
+            for g in np.unique(group):
+                for _, joined, _ in _joined(b.column(1).filter(pa.array(group == g)).to_pylist()):
+                    c = classes(joined).astype(np.int64)
+                    total[g] += np.bincount(c[:-1] * n + c[1:], minlength=n * n)
+        of, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[of, at])], names=["group", "bigram", "n"])
 
-    rows = values.select(text).mapInArrow(run, "bigram int, n bigint").groupBy("bigram").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(n * n, np.int64)
-    for r in rows:
-        counts[r.bigram] = r.n
-    return counts.reshape(n, n)
+    counts = np.zeros((groups, n * n), np.int64)
+    for r in rows.mapInArrow(run, "group int, bigram int, n bigint").groupBy("group", "bigram").agg(F.sum("n").alias("n")).collect():
+        counts[r.group, r.bigram] = r.n
+    return counts.reshape(groups, n, n)
 
 
 def _joined(texts: list) -> Iterator[tuple[list[int], str, np.ndarray]]:
@@ -200,34 +227,51 @@ def _one(at: list[int], texts: list) -> tuple[list[int], str, np.ndarray]:
     return at, "\n".join(own) + "\n", starts
 
 
-def model(counts: np.ndarray) -> Model:
-    """The bigram model of counts, without what UTF-8 sequences of more frequent letters explain."""
-    signs, table = letters()
-    n = len(signs)
-    total = max(1, int(counts.sum()))
-    single = counts.sum(1)
-    odd = counts < max(2.0, RARE * total)
-    kept = counts.astype(float)
-    code = lambda c: table[min(ord(c), 0xFFFF)]
+@lru_cache(None)
+def _letters_as_utf8() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, which): bigrams that are a letter, or the start of dashes, quotation marks and the like, in UTF-8; and the classes of these letters, one row for each."""
+    table = letters()[1]
+    n = len(letters()[0])
+    code = lambda c: int(table[min(ord(c), 0xFFFF)])
+    a, b, which = [], [], []
     for page in PAGES:
         d = decoded(page)
         for first in (*range(0xC2, 0xE0), 0xE2):
             for second in range(0x80, 0xC0):
-                if first == 0xE2:  # dashes, quotation marks and the like
-                    of = sum(int(single[code(u)]) for third in range(0x80, 0xC0) if code(u := bytes([first, second, third]).decode("utf-8", "replace")[0]))
+                of = np.zeros(n, np.float32)
+                if first == 0xE2:
+                    for third in range(0x80, 0xC0):
+                        if k := code(bytes([first, second, third]).decode("utf-8", "replace")[0]):
+                            of[k] += 1
                 else:
-                    of = int(single[code(bytes([first, second]).decode())])
-                a, b = code(d[first]), code(d[second])
-                if counts[a, b] <= GARBLED * of:
-                    odd[a, b] = True
-                    kept[a, b] = 0
-    ascii_ = np.array([bool(s) and s.isascii() for s in signs])
-    odd[np.ix_(ascii_, ascii_)] = False
-    for c in (*range(0x80, 0xA0), 0xFFFD):
-        if c != 0x85:
-            odd[table[c], :] = odd[:, table[c]] = True
-    gain = np.log((kept + 0.5) / (total + 0.5 * n * n) * n * n)
-    return Model(gain.astype(np.float32), odd)
+                    of[code(bytes([first, second]).decode())] = 1
+                a.append(code(d[first]))
+                b.append(code(d[second]))
+                which.append(of)
+    return np.array(a), np.array(b), np.array(which)
+
+
+def model(counts: np.ndarray) -> Model:
+    """The bigram model of counts, without what UTF-8 sequences of more frequent letters explain."""
+    n = len(counts)
+    a, b, which = _letters_as_utf8()
+    kept = counts.astype(float)
+    explained = counts[a, b] <= GARBLED * (which @ counts.sum(1).astype(float))
+    kept[a[explained], b[explained]] = 0
+    return Model(np.log((kept + 0.5) / (max(1.0, float(counts.sum())) + 0.5 * n * n) * n * n).astype(np.float32))
+
+
+def models(counts: np.ndarray, own: np.ndarray) -> list[Model]:
+    """A model for each group of sources, in which the group itself hardly counts: so damage that fills a source is not taken for its spelling.
+
+    Where the other groups hold less than a group itself, it counts by so much more, up to all if there is no other.
+    """
+    sums = own.sum((1, 2)).astype(float)
+    out = []
+    for k, s in enumerate(sums):
+        weight = max(OWN, 1 - (sums.sum() - s) / s) if s else 1.0
+        out.append(model(counts - (1 - weight) * own[k]))
+    return out
 
 
 def _score(c: np.ndarray, gain: np.ndarray) -> float:
@@ -238,77 +282,70 @@ def _score(c: np.ndarray, gain: np.ndarray) -> float:
 SEQUENCE = 5.0
 
 
+@lru_cache(1 << 16)
 def _known(sign: str) -> bool:
     return len(sign) == 1 and sign.isprintable() and classes(sign)[0] > 0
 
 
-def gains(text: str, m: Model) -> np.ndarray:
-    """What each swap adds to the log likelihood of a text's bigrams, over the words that it improves."""
-    out = np.zeros(len(SWAPS), np.float32)
-    padded = f" {text} "
-    c = classes(padded)
-    base = _score(c, m.gain)
-    for k, page in enumerate(PAGES):
-        now, valid = text, 0
+def sequence_gains(text: str, m: Model, pages: Iterable[int] = range(len(PAGES))) -> dict[int, float]:
+    """What reading a text's UTF-8 sequences adds to the log likelihood of its bigrams, by page."""
+    out = {}
+    base = None
+    for k in pages:
+        page, now, valid = PAGES[k], text, 0
         for _ in range(TIMES):  # text garbled twice gains only when it is put right twice
             if not (found := set(sequences(page).findall(now))):
                 break
+            if base is None:
+                base = _score(classes(f" {text} "), m.gain)
             valid += sum(_known(read_utf8(x, page)) for x in found)
             now = read_utf8(now, page)
-            out[k] = max(out[k], _score(classes(f" {now} "), m.gain) - base + SEQUENCE * valid)
-    points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)
-    high = points > 127
-    touched = high[:-1] | high[1:]
-    at = np.flatnonzero(touched)
-    if len(at):
-        blank = np.isin(points, (9, 10, 13, 32, 160))
-        number = np.cumsum(blank)
-        alone = np.bincount(number[~blank], minlength=number[-1] + 1) < 2  # nor does what a lone sign would become
-        word = number[at]
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        maps = _class_maps()
-        a, b = c[at], c[at + 1]
-        inner = np.where(blank[at], number[at + 1], word)
-        solid = (points[at] != 160) & (points[at + 1] != 160) & ~alone[inner] & ~alone[word]  # what a no-break space would become proves nothing
-        before = m.gain[a, b]
-        for k in range(0, len(maps), 32):
-            part = maps[k : k + 32]
-            change = (m.gain[part[:, a], part[:, b]] - before) * solid
-            out[len(PAGES) + k : len(PAGES) + k + len(part)] = np.maximum(np.add.reduceat(change, first, axis=1), 0).sum(1)
+            out[k] = max(out.get(k, 0.0), _score(classes(f" {now} "), m.gain) - base + SEQUENCE * valid)
     return out
 
 
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
-def marked(values: DataFrame, m: Model, keys: list[str], text: str = "sval") -> DataFrame:
-    """The keys and text of values with an improbable bigram, `lost` (holds U+FFFD or C1 controls) and the best swaps with their gains."""
-    schema = T.StructType([*(values.schema[k] for k in keys), T.StructField("text", T.StringType()), T.StructField("lost", T.BooleanType()), T.StructField("swaps", T.ArrayType(T.IntegerType())), T.StructField("gains", T.ArrayType(T.DoubleType()))])
-    shared = values.sparkSession.sparkContext.broadcast(m)  # bounded by the alphabet
+def marked(held: DataFrame, by_group: list[Model], keys: list[str], text: str = "sval") -> DataFrame:
+    """The keys, source, group and text of values that a swap improves or that are `lost` (hold U+FFFD or C1 controls), with the best swaps and their gains.
+
+    Each value of held (keys, source, group, text) is scored under every swap.
+    """
+    first = [*keys, "source", "group"]
+    schema = T.StructType([*(held.schema[k] for k in first), T.StructField("text", T.StringType()), T.StructField("lost", T.BooleanType()), T.StructField("swaps", T.ArrayType(T.IntegerType())), T.StructField("gains", T.ArrayType(T.DoubleType()))])
+    shared = held.sparkSession.sparkContext.broadcast(by_group)  # bounded by the alphabet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_ = shared.value
-        words = _WordGains(model_)
+        words = [_WordSwaps(m) for m in shared.value]
+        lead, tail = _lead_and_tail()
         for b in batches:
-            texts = b.column(len(keys)).to_pylist()
+            group, everything = np.asarray(b.column(len(keys) + 1)), b.column(len(first)).to_pylist()
             rows, lost, swaps, worth = [], [], [], []
-            for at, joined, starts in _joined(texts):
-                c = classes(joined)
-                hits = np.flatnonzero(model_.odd[c[:-1], c[1:]])
-                for j in np.unique(np.searchsorted(starts, hits, "right") - 1).tolist():
-                    t = texts[at[j]]
-                    best, gain = ranked(t, model_, words)
-                    gone = _LOST.search(t) is not None
-                    if gone or best:
-                        rows.append(at[j])
-                        lost.append(gone)
-                        swaps.append(best)
-                        worth.append(gain)
+            for g in np.unique(group).tolist():
+                mine = np.flatnonzero(group == g).tolist()
+                for at, joined, starts in _joined([everything[i] for i in mine]):
+                    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+                    bits = lead[points[:-1]] & tail[points[1:]]
+                    hits = np.flatnonzero(bits)
+                    pages = np.zeros(len(at), np.int32)
+                    np.bitwise_or.at(pages, np.searchsorted(starts, hits, "right") - 1, bits[hits])
+                    texts = [everything[mine[i]] for i in at]
+                    own = [words_of(t) for t in texts]
+                    words[g].learn(set().union(*own))
+                    for i, t, x, p in zip(at, texts, own, pages.tolist()):
+                        best, gain = ranked(t, x, p, words[g])
+                        gone = _LOST.search(t) is not None
+                        if gone or best:
+                            rows.append(mine[i])
+                            lost.append(gone)
+                            swaps.append(best)
+                            worth.append(gain)
             if rows:
                 part = b.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], part.columns[-1].cast(pa.string()), pa.array(lost), pa.array(swaps, pa.list_(pa.int32())), pa.array(worth, pa.list_(pa.float64()))], names=schema.names)
 
-    return values.select(*keys, text).mapInArrow(run, schema)
+    return held.select(*first, text).mapInArrow(run, schema)
 
 
 def learn(cases: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -327,10 +364,13 @@ def learn(cases: DataFrame, sizes: DataFrame) -> DataFrame:
         p = (F.coalesce(F.col("n_own"), F.lit(0.0)) + BEHIND * prior[F.col("swap")]) / (F.coalesce(F.col("n"), F.lit(0)) + BEHIND) if "n_own" in own.columns else prior[F.col("swap")]
         # The weight of no swap is 1; gains are cut where exp would overflow.
         rows = rows.withColumn("w", F.greatest(p, F.lit(1e-12)) * F.exp(F.least(F.col("gain"), F.lit(300.0))))
-        posterior = materialize(rows.withColumn("chance", F.col("w") / (1 + F.sum("w").over(_by_id()))).select("id", "source", "swap", "chance"), "posterior")
-        sums = posterior.groupBy("swap").agg(F.sum("chance").alias("n")).collect()  # one row a swap
+        rows = rows.withColumn("all", F.sum("w").over(_by_id()))
+        posterior = materialize(rows.select("id", "source", "swap", (F.col("w") / (1 + F.col("all"))).alias("chance"), (F.col("all") > 1).alias("likely")), "posterior")
+        # Only likely cases teach: a common word that gains a little by chance, in thousands of values, is no swap.
+        taught = posterior.filter("likely")
+        sums = taught.groupBy("swap").agg(F.sum("chance").alias("n")).collect()  # one row a swap
         spread = {i: 1e-6 for i in range(len(SWAPS))} | {r.swap: max(1e-6, r.n / total) for r in sums}
-        own = posterior.groupBy("source", "swap").agg(F.sum("chance").alias("n_own"))
+        own = taught.groupBy("source", "swap").agg(F.sum("chance").alias("n_own"))
     best = posterior.groupBy("id").agg(F.max(F.struct("chance", -F.col("swap"))).alias("b"), F.sum("chance").alias("chance"))
     return best.select("id", (-F.col("b.col2")).alias("swap"), "chance")
 
@@ -356,10 +396,10 @@ def restore_text(text: str, swap: int, m: Model) -> str:
         if new == text:
             break
         text = new
-        again = gains(text, m)[: len(PAGES)]
-        if again.max() < 8 or turn + 1 == TIMES:
+        again = sequence_gains(text, m)
+        swap = max(again, key=again.get, default=0)
+        if again.get(swap, 0) < 8 or turn + 1 == TIMES:
             break
-        swap = int(again.argmax())
         s = SWAPS[swap]
     return text
 
@@ -394,52 +434,107 @@ class _WordGains(dict):
         return value
 
 
-def ranked(text: str, m: Model, words: _WordGains) -> tuple[list[int], list[float]]:
-    """The best swaps of a text with their gains; those of single-byte swaps are summed anew over plausible words."""
-    g = gains(text, m)
-    best = [k for k in np.argsort(-g, kind="stable")[: 2 * KEPT].tolist() if g[k] > LEAST]
-    if any(k >= len(PAGES) for k in best):
-        own = [w for w in re.split(r"[ \t\r\n]+", text) if not w.isascii()]
-        for k in best:
-            if k >= len(PAGES):
-                g[k] = sum(words[k, w] for w in own)
-    best = sorted((k for k in best if g[k] > LEAST), key=lambda k: (-g[k], k))[:KEPT]
+_BLANKS = str.maketrans("\t\r\n", "   ")
+
+
+def words_of(text: str) -> set[str]:
+    """The different words with a sign beyond ASCII: a word that a text repeats proves no more than one."""
+    return {w for w in text.translate(_BLANKS).split(" ") if not w.isascii()}
+
+
+@lru_cache(1 << 17)
+def _allowed(word: str, new: str) -> bool:
+    return len(word.strip("\xa0")) > 1 and new.count("\xa0") <= word.count("\xa0") and _plausible(new)
+
+
+class _WordSwaps(dict):
+    """By word: the single-byte swaps that improve it to a plausible word, with what it gains (as _WordGains has it). Learn words first."""
+
+    def __init__(self, m: Model):
+        self.m = m
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) + len(words) >= WORDS:
+            self.clear()
+        new = [w for w in words if w not in self]
+        block, size = [], 0
+        for w in new:
+            block.append(w)
+            size += len(w) + 1
+            if size > 8192:
+                self._learn(block)
+                block, size = [], 0
+        if block:
+            self._learn(block)
+
+    def _learn(self, words: list[str]) -> None:
+        number, maps = _sign_maps()
+        joined = " " + " ".join(words) + " "
+        points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+        signs = number[points]
+        firsts = np.r_[0, np.cumsum([len(w) + 1 for w in words])[:-1]]  # the blank before a word
+        at = np.flatnonzero((points[:-1] > 127) | (points[1:] > 127))
+        a, b = signs[at], signs[at + 1]
+        start = np.searchsorted(at, firsts)  # each word holds a sign beyond ASCII
+        before = self.m.gain[maps[0, a], maps[0, b]]
+        change = self.m.gain[maps[1:, a], maps[1:, b]]
+        change -= before
+        worth = np.add.reduceat(change, start, axis=1).T
+        for w in words:
+            self[w] = ()
+        found: dict[int, list] = {}
+        for i, k in zip(*(x.tolist() for x in np.nonzero(worth > LEAST))):
+            new = words[i].translate(mapping(SWAPS[len(PAGES) + k]))
+            if new != words[i] and _allowed(words[i], new):
+                found.setdefault(i, []).append((len(PAGES) + k, float(worth[i, k])))
+        for i, x in found.items():
+            self[words[i]] = tuple(x)
+
+
+def ranked(text: str, own: set[str], pages: int, words: _WordSwaps) -> tuple[list[int], list[float]]:
+    """The best swaps of a text with their gains; own: its words beyond ASCII; pages: a bit for each page in which it may hold UTF-8 sequences."""
+    g = sequence_gains(text, words.m, [k for k in range(len(PAGES)) if pages >> k & 1]) if pages else {}
+    for w in sorted(own):
+        for k, x in words[w]:
+            g[k] = g.get(k, 0.0) + x
+    best = sorted((k for k in g if g[k] > LEAST), key=lambda k: (-g[k], k))[:KEPT]
     return best, [float(g[k]) for k in best]
 
 
 @dataclass
 class Findings:
-    """places: (keys, text, lost, swap, chance) of affected values; model: the bigrams."""
+    """places: (keys, text, lost, source, group, swap, chance) of affected values; models: the bigrams, by group."""
 
     places: DataFrame
-    model: Model
+    models: list[Model]
 
 
 def find(values: DataFrame, sources: DataFrame, keys: list[str], text: str = "sval") -> Findings:
     """Affected values of (keys, text). keys[1] is the id by which sources (id, source) names each value's source."""
-    m = model(bigram_counts(values, text))
-    cases = marked(values, m, keys, text)
     named = sources.filter("id is not null").groupBy("id").agg(F.min("source").alias("source"))
     sizes = named.groupBy("source").agg(F.count("*").alias("n"))
-    cases = cases.join(named.withColumnRenamed("id", keys[1]), keys[1], "left").withColumn("source", F.coalesce("source", F.lit("")))
+    held = values.select(*keys, text).filter(F.col(text).rlike(r"[^\x00-\x7f]")).join(named.withColumnRenamed("id", keys[1]), keys[1], "left").withColumn("source", F.coalesce("source", F.lit("")))
+    held = materialize(held.select(*keys, "source", F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("int").alias("group"), text), "held")
+    by_group = models(bigram_counts(values, text), group_counts(held, text))
+    cases = marked(held, by_group, keys, text)
     cases = materialize(cases.withColumn("id", F.xxhash64(*keys, "text")).dropDuplicates(["id", *keys]), "marked")
     chosen = learn(cases, sizes)
     places = cases.join(chosen, "id", "left").filter("lost or chance > 0.5")
-    return Findings(places.select(*keys, "text", "lost", "source", "swap", "chance"), m)
+    return Findings(places.select(*keys, "text", "lost", "source", "group", "swap", "chance"), by_group)
 
 
 def restored(found: Findings, keys: list[str]) -> DataFrame:
     """The places of affected values with the text as first written where it can be told (else null), and the swap's name."""
     places = found.places
     schema = T.StructType([*(places.schema[k] for k in keys), T.StructField("text", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("swap", T.StringType()), T.StructField("chance", T.DoubleType())])
-    shared = places.sparkSession.sparkContext.broadcast(found.model)
+    shared = places.sparkSession.sparkContext.broadcast(found.models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = len(keys)
-            texts, swaps = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
-            new = [None if s is None else restore_text(t, s, shared.value) for t, s in zip(texts, swaps)]
+            texts, swaps, groups = (b.column(n + i).to_pylist() for i in (0, 1, 3))
+            new = [None if s is None else restore_text(t, s, shared.value[g]) for t, s, g in zip(texts, swaps, groups)]
             new = [x if x != t else None for x, t in zip(new, texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(new, pa.string()), pa.array([None if s is None else NAMES[s] for s in swaps], pa.string()), b.column(n + 2)], names=schema.names)
 
-    return places.select(*keys, "text", F.when(F.col("chance") > 0.5, F.col("swap")).cast("int").alias("swap"), "chance").mapInArrow(run, schema)
+    return places.select(*keys, "text", F.when(F.col("chance") > 0.5, F.col("swap")).cast("int").alias("swap"), "chance", "group").mapInArrow(run, schema)

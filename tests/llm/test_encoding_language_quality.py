@@ -60,6 +60,28 @@ def test_found_and_restored(found):
     assert 2002 in got and got[2002] is None and None in got
 
 
+def test_one_source_garbled_as_a_whole(spark):
+    """A site with a third of the rows has decoded all of them wrongly, in the same way; among them titles of two words."""
+    rng = np.random.default_rng(2)
+    for read, written, langs in (("cp1252", "utf-8", ["de", "fr"]), ("cp1252", "cp1251", ["ru"]), ("cp437", "cp1252", ["de", "fr"])):
+        rows, truth = [], {}
+        for i in range(900):
+            lang = langs[i % len(langs)] if i % 3 == 0 else list(SENTENCES)[i % 4]
+            words = rng.permutation(SENTENCES[lang].split())
+            text = " ".join(words[: 2 if i % 2 else None])
+            if i % 3 == 0:
+                bad = "".join(e.decoded(read)[b] for b in text.encode(written))
+                if bad != text:
+                    truth[i] = text
+                text = bad
+            rows.append(("t", i, "title", text))
+        sources = spark.createDataFrame([(i, "bad" if i % 3 == 0 else f"s{i % 5}") for i in range(900)], "id int, source string")
+        keys = ["src", "url_id", "sname"]
+        got = {r.url_id: r.restored for r in e.restored(e.find(spark.createDataFrame(rows, "src string, url_id int, sname string, sval string"), sources, keys), keys).collect()}
+        assert set(got) <= set(truth) and len(got) >= 0.95 * len(truth), (read, written, len(got), len(truth))
+        assert sum(got[i] == truth[i] for i in got) >= 0.9 * len(got), (read, written)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "src string, url_id int, sname string, sval string")
     f = e.find(df, spark.createDataFrame([], "id int, source string"), ["src", "url_id", "sname"])
