@@ -6,7 +6,8 @@ where entity and attribute are dictionary-encoded and the values scattered into
 and column index; each chunk leaves as an Arrow table.
 
 Cases: a null entity is a group of its own; null, empty and unreadable values are no fact; a null or unknown
-name is no column (see other_names); an entity with no usable fact has no row; repeated rows count once; if usable
+name is no column, nor is a value that can't be read as declared: with others=True both come out in other_names, else
+nowhere; an entity with no usable fact and nothing in other_names has no row; repeated rows count once; if usable
 values of one cell differ, the smallest is taken for a single-valued section and all, sorted, for a multi-valued
 string section; names are compared in their plain form; other columns of the input are ignored.
 """
@@ -45,11 +46,11 @@ def section_registry(sections: DataFrame, valtypes: list[str] | None = None) ->
     return [x for x in first.values() if not valtypes or x[1] in valtypes]
 
 
-def _scatter(columns: list[tuple[str, str, bool]], schema: pa.Schema, entity: str):
+def _scatter(columns: list[tuple[str, str, bool]], schema: pa.Schema, entity: str, others: bool):
     """The function for mapInArrow: rows sorted by entity in, wide tables out."""
     slots = {code: i for i, code in enumerate(c for c, x in enumerate(columns) if x[1] in ("int", "timestamp", "boolean"))}
     reals = {code: i for i, code in enumerate(c for c, x in enumerate(columns) if x[1] == "double")}
-    table = lambda d: np.array([d.get(c, -1) for c in range(len(columns))] or [-1])
+    table = lambda d: np.array([d.get(c, -1) for c in range(len(columns) + 1)])  # noqa: E731; the last code is of other names
     slot_of, real_of = table(slots), table(reals)
 
     def wide(batch: pa.Table) -> pa.RecordBatch:
@@ -86,6 +87,13 @@ def _scatter(columns: list[tuple[str, str, bool]], schema: pa.Schema, entity: st
                     else:
                         cells[r].append(v)
                 out.append(pa.array(cells if single else [x and sorted(x) for x in cells], field.type))
+        if others:
+            rest: list[dict] = [{} for _ in range(n)]
+            mine = np.flatnonzero(code == len(columns))
+            at = pa.array(mine)
+            for r, k, v in zip(row[mine].tolist(), batch.column("v_name").take(at).to_pylist(), texts.take(at).to_pylist()):
+                rest[r].setdefault(k, []).append(v)
+            out.append(pa.array([[{"name": k, "values": sorted(x[k])} for k in sorted(x, key=lambda k: (k is None, k))] or None for x in rest], schema.field(OTHERS).type))
         return pa.RecordBatch.from_arrays(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,35 +116,44 @@ def _scatter(columns: list[tuple[str, str, bool]], schema: pa.Schema, entity: st
     return run
 
 
-def widen(facts: DataFrame, sections: DataFrame, entity: str = "url_id", name: str = "sname", value: str = "sval", valtypes: list[str] | None = None) -> DataFrame:
+def widen(facts: DataFrame, sections: DataFrame, entity: str = "url_id", name: str = "sname", value: str = "sval", valtypes: list[str] | None = None, others: bool = False) -> DataFrame:
     """One row per entity that has a usable value, with one typed column per declared section of the valtypes (all if None).
 
     int is bigint, timestamp is a timestamp, a string section is a string if it is single, else array<string>.
+    others: with a column other_names, (name, values) for each name that is not declared or null, and for the values that can't be read as their section's type.
     """
     columns = section_registry(sections, valtypes)
     kinds = {kind: [c for c, x in enumerate(columns) if x[1] == kind] for kind in (*_SPARK, "string")}
     fields = [T.StructField(n, _SPARK.get(k) or (T.StringType() if s else T.ArrayType(T.StringType())), True) for n, k, s in columns]
     kind_of_entity = facts.schema[entity].dataType
+    if others:
+        fields.append(T.StructField(OTHERS, T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("values", T.ArrayType(T.StringType()))]))))
     schema = T.StructType([T.StructField(entity, kind_of_entity, True), *fields])
-    if not columns:
+    if not columns and not others:
         return facts.sparkSession.createDataFrame([], schema)
-    codes = F.create_map(*[x for c, (n, _, _) in enumerate(columns) for x in (F.lit(n), F.lit(c))])
+    codes = F.create_map(*[x for c, (n, _, _) in enumerate(columns) for x in (F.lit(n), F.lit(c))] or [F.lit(""), F.lit(None).cast("int")])
     code, text = F.col("code"), F.col("v")
-    rows = facts.select(F.col(entity).alias("e"), codes[plain_name(F.col(name))].alias("code"), F.col(value).alias("v")).filter("code is not null and v is not null")
+    rows = facts.select(F.col(entity).alias("e"), codes[plain_name(F.col(name))].alias("code"), plain_name(F.col(name)).alias("name"), F.col(value).alias("v")).filter("v is not null")
+    if not others:
+        rows = rows.filter("code is not null")
     whole = F.when(code.isin(kinds["int"] or [-1]), as_long(text)).when(code.isin(kinds["timestamp"] or [-1]), as_epoch_seconds(text)).when(code.isin(kinds["boolean"] or [-1]), as_boolean(text).cast("bigint"))
     real = F.when(code.isin(kinds["double"] or [-1]), as_double(text))
     parts = ["e", "code"]
     picks = [F.min("v_long").alias("v_long"), F.min("v_double").alias("v_double")]
-    typed = rows.select("e", "code", whole.alias("v_long"), real.alias("v_double"), F.when(code.isin(kinds["string"] or [-1]) & (F.trim(text) != ""), text).alias("v_text"))
+    typed = rows.select("e", "code", "name", "v", whole.alias("v_long"), real.alias("v_double"), F.when(code.isin(kinds["string"] or [-1]) & (F.trim(text) != ""), text).alias("v_text"))
     usable = "v_long is not null or v_double is not null or v_text is not null"
-    if kinds["string"]:
+    if others:
+        parts += ["v_text", "v_name"]
+        left = F.col("code").isNull() | ~F.expr(usable)
+        typed = typed.select("e", F.when(left, F.lit(len(columns))).otherwise(F.col("code")).alias("code"), "v_long", "v_double", F.when(left, F.col("v")).otherwise(F.col("v_text")).alias("v_text"), F.when(left, F.col("name")).alias("v_name"))
+    elif kinds["string"]:
         parts.append("v_text")
     else:
         typed, usable = typed.drop("v_text"), "v_long is not null or v_double is not null"
     cells = typed.filter(usable).groupBy(*parts).agg(*picks)
     spread = cells.repartition("e").sortWithinPartitions("e")
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
-    return spread.mapInArrow(_scatter(columns, arrow, entity), schema)
+    return spread.mapInArrow(_scatter(columns, arrow, entity, others), schema)
 
 
 def _arrow(t: T.DataType) -> pa.DataType:

@@ -16,7 +16,7 @@ def p5_found(spark, d):
 
 
 def p5_wide(spark, d):
-    return widen(table(spark, d, "urlinfo"), table(spark, d, "sections"))
+    return widen(table(spark, d, "urlinfo"), table(spark, d, "sections"), others=True)
 
 
 _ZONE = r"\s*(z|gmt|utc|[+-]\d{2}:?\d{2})?"

@@ -41,6 +41,31 @@ def test_wide(spark):
     assert got[2]["tags"] == ["a", "b"] and got[None]["size"] == 7 and got[6]["name"] == "y"
 
 
+def test_no_value_disappears(spark):
+    facts = [(1, " X_Dro-Mar", "b"), (1, "x-dro-mar", "a"), (1, "x-dro-mar", "a"), (1, "size", "12"), (1, "rate", "n/a"), (2, "other", ""), (3, None, "v"), (None, "other", "w"), (4, "other", None), (5, "tags", "t"), (5, "name", " ")]
+    wide = widen(spark.createDataFrame(facts, "url_id int, sname string, sval string"), spark.createDataFrame(SECTIONS, SCHEMA), others=True)
+    got = {r.url_id: r for r in wide.collect()}
+    assert {k: r.other_names and [(x.name, x["values"]) for x in r.other_names] for k, r in got.items()} == {1: [("rate", ["n/a"]), ("x-dro-mar", ["a", "b"])], 2: [("other", [""])], 3: [(None, ["v"])], None: [("other", ["w"])], 5: [("name", [" "])]}
+    assert got[1]["size"] == 12 and got[5]["tags"] == ["t"]
+    bare = widen(spark.createDataFrame(facts, "url_id int, sname string, sval string"), spark.createDataFrame([], SCHEMA), others=True)
+    assert {r.url_id for r in bare.collect()} == {1, 2, 3, None, 5}
+
+
+def test_wide_query_keeps_undeclared_names(spark):
+    import os
+
+    from corpusloom.functions.names import plain_name
+    from corpusloom.queries.eav import p5_wide
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        return
+    names = [r[0] for r in spark.read.parquet(f"{d}/sections.parquet").select(plain_name(F.col("sname"))).collect()]
+    rows = spark.read.parquet(f"{d}/urlinfo.parquet").filter("sval is not null").select("url_id", plain_name(F.col("sname")).alias("name"), F.col("sval").alias("v")).filter(F.col("name").isNull() | ~F.col("name").isin(names)).distinct()
+    got = p5_wide(spark, d).select("url_id", F.explode("other_names").alias("o")).select("url_id", "o.name", F.explode("o.values").alias("v"))
+    assert rows.count() > 0 and rows.exceptAll(got).count() == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "url_id int, sname string, sval string")
     sections = spark.createDataFrame(SECTIONS, SCHEMA)
