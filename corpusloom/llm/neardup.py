@@ -304,6 +304,21 @@ def all_pairs(forest: Forest) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def union(first: Forest, second: Forest) -> Forest:
+    """One forest of the ids of both, linked where either links them. Its classes are those of first; an id it lacks is its own.
+
+    The classes of second become links from each member's class to the class of its representative.
+    """
+    ids = first.classes.select("id", "rep").join(second.classes.select("id", F.col("rep").alias("other")), "id", "full")
+    nodes = materialize(ids.select("id", F.coalesce("rep", "id").alias("rep"), "other"), "nodes")
+    of = lambda c: nodes.select(F.col("id").alias(c), F.col("rep").alias(f"{c}_node"))
+    members = nodes.filter("other is not null").select(F.col("rep").alias("a"), "other").join(of("other"), "other").select("a", F.col("other_node").alias("b"))
+    across = second.links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    links = first.links.select("a", "b").unionByName(members).unionByName(across).filter("a <> b")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return Forest(nodes.select("id", "rep"), links, min(first.depth, second.depth), min(first.recall, second.recall))
+
+
 def groups(forest: Forest) -> DataFrame:
     """(id, group, links): each id with the least id that a chain of near-duplicates leads to, and its number of links.
 

@@ -74,9 +74,11 @@ def p1_found(spark, d):
 
 
 def p1_groups(spark, d):
-    """Each page with a body: the group of near-duplicate bodies it belongs to."""
-    texts = bodies(spark, d).select(F.col("page").alias("id"), F.col("body").alias("text"))
-    return neardup.groups(neardup.near_duplicates(texts, neardup.WORDS3)).withColumnRenamed("id", "url_id")
+    """Each page with a body or a record: the group of pages it belongs to, by chains of near-duplicate bodies and URLs.
+
+    rep is the page that stands for equal bodies, links the number of other such pages that a body or URL links it to.
+    """
+    return neardup.groups(neardup.union(*_near(spark, d))).withColumnRenamed("id", "url_id")
 
 
 P3_KEYS = ["src", "url_id", "sname"]

@@ -117,6 +117,19 @@ def test_urls(spark):
     assert all_pairs(empty).count() == 0 and groups(empty).count() == 0
 
 
+def test_groups_of_bodies_and_urls(spark, tmp_path):
+    from corpusloom.llm.queries import p1_groups
+
+    text = "the same long body of some page {} with many words that do not change at all from one page to the next"
+    bodies = [(1, text.format("a")), (2, text.format("b")), (3, "quite another text on bridges over rivers"), (5, "a lonely page of its own"), (6, text.format("a")), (8, "one text on two pages here"), (9, "one text on two pages here")]
+    url = "http://site.test/2010/a-long-name-of-a-page-{}.html"
+    urls = [(2, url.format("xx")), (3, url.format("xy")), (4, url.format("xz")), (7, "http://elsewhere.test/q"), (9, "http://far.test/away/of/all"), (10, "HTTP://far.test/away/of/ALL")]
+    spark.createDataFrame([(i, "Body ", t) for i, t in bodies], "url_id int, sname string, sval string").write.parquet(f"{tmp_path}/urlinfo.parquet")
+    spark.createDataFrame(urls, "url_id int, url string").write.parquet(f"{tmp_path}/records.parquet")
+    got = {r.url_id: r.group for r in p1_groups(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 6: 1, 5: 5, 7: 7, 8: 8, 9: 8, 10: 8}
+
+
 def test_one_group_holds_a_third(spark):
     texts = [(i, "the same words in every copy of it" if i % 3 == 0 else f"{i} other {i * 7} words {i * 13} here {i * 17}") for i in range(600)]
     forest = near_duplicates(spark.createDataFrame(texts, "id int, text string"), WORDS3)
