@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import url as u
+from corpusloom.functions.names import plain_name
 from corpusloom.operators import limits, maintenance, popularity, results, rules
 from corpusloom.queries.common import PLAIN, POST, Registry, index
 from corpusloom.sources.tables import table
@@ -98,7 +99,15 @@ R.add("j12_merged_shards", lambda s, d: results.merge_shards(*[_scored(s, d).fil
       f"{_RANKED} SELECT doc_id, score FROM r")
 R.add("j11_details", lambda s, d: results.details(results.page(_scored(s, d)).select("doc_id", "place", "score"), _url(s, d)).select("doc_id", "place", "url", "docsize"),
       f"{_RANKED}, p AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, pop_rank DESC, doc_id) AS INT) AS place FROM r QUALIFY place <= 10) SELECT doc_id, place, url, docsize FROM p JOIN url ON rec_id = doc_id")
-R.add("r01_excerpts", lambda s, d: results.page(_scored(s, d)).select("doc_id", "place").join(table(s, d, "urlinfo").filter(F.col("sname") == "body").select(F.col("url_id").alias("doc_id"), "sval").distinct(), "doc_id").select("doc_id", "place", results.excerpts(["bridge"])(F.col("sval")).alias("excerpt")))
+
+
+def _excerpts(s, d):
+    bodies = table(s, d, "urlinfo").filter((plain_name(F.col("sname")) == "body") & (F.col("sval") != "")).groupBy(F.col("url_id").alias("doc_id")).agg(F.min("sval").alias("sval"))
+    hits = results.page(_scored(s, d)).select("doc_id", "place")
+    return hits.join(bodies, "doc_id", "left").select("doc_id", "place", results.excerpts(["bridge"])(F.col("sval")).alias("excerpt"))
+
+
+R.add("r01_excerpts", _excerpts)
 R.add("r03_highlight", lambda s, d: table(s, d, "records").select("url_id", tx.highlight(F.col("title"), ["bridge", "river"]).alias("title")).distinct(),
       r"SELECT DISTINCT url_id, regexp_replace(title, '(?i)\b(bridge|river)\b', '<b>\1</b>', 'g') AS title FROM records")
 _PATHS = "SELECT upper(printf('%02x', r_regionkey)) AS path, r_name AS name FROM region UNION ALL SELECT upper(printf('%02x', n_regionkey)) || upper(printf('%02x', n_nationkey)), n_name FROM nation"

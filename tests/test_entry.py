@@ -46,3 +46,20 @@ def test_same_as_sql(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_excerpts_of_every_hit(spark, tmp_path):
+    """With body names spelt otherwise the excerpts are the same, and hits without a body keep their places."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions.names import plain_name
+
+    want = {r.doc_id: r for r in QUERIES["r01_excerpts"](spark, DIR).collect()}
+    for p in glob.glob(f"{DIR}/*.parquet"):
+        if os.path.basename(p) != "urlinfo.parquet":
+            os.symlink(p, tmp_path / os.path.basename(p))
+    body = plain_name(F.col("sname")) == "body"
+    spark.read.parquet(f"{DIR}/urlinfo.parquet").withColumn("sname", F.when(body, F.lit(" BODY")).otherwise(F.col("sname"))).write.parquet(f"{tmp_path}/urlinfo.parquet")
+    got = {r.doc_id: r for r in QUERIES["r01_excerpts"](spark, str(tmp_path)).collect()}
+    assert got == want and sorted(r.place for r in got.values()) == list(range(1, len(got) + 1)) and got
