@@ -8,12 +8,17 @@ and read as a single-byte encoding replaces one letter by two or three signs. Wh
    as improbable there as it is elsewhere. Bigrams that are explained as a UTF-8 sequence of a much more frequent letter
    are taken out of the models.
 2. Every value with a sign beyond ASCII is scored: the gain in bigram likelihood under each swap, over the words which the
-   swap improves (so a value may be affected in part).
-3. Expectation-maximization over the values that gain: the chance of each swap by source (with the whole collection behind
-   it). A swap's mapping of signs to letters is the code pages' own table; swaps outside PAGES are found only where they
-   leave C1 controls or U+FFFD.
-4. A value is affected if a swap is likelier than none; it is restored with translate() (single-byte swaps) or by reading
-   the sequences as UTF-8, repeated while it helps (text garbled twice).
+   swap improves (so a value may be affected in part). Every swap is kept whose gain is not hopelessly below the best one.
+3. Expectation-maximization over the values that gain, in logarithms: the chance of each swap by source (with the whole
+   collection behind it), and so each value's swap.
+4. Each source's cipher is then learned by EM of its own from the bigrams of its affected words: the E-step gives each sign
+   a distribution over letters from those of its neighbours and the language's bigrams, the M-step the mapping of the sign, for
+   which the code pages' table is a prior that enough evidence overrules (`learned_table`).
+5. All bad words of a source (those improved, and those no swap improves though their signs are improbable) also go through
+   one EM without a trusted table: that finds swaps of pages outside PAGES. Such a cipher takes the place of the known swaps if
+   it reads the words better than these by more than its description costs (`unknown_table`).
+6. A value is affected if a swap or its source's unknown cipher is likelier than none; it is restored with translate() by the
+   learned mapping or by reading the sequences as UTF-8, repeated while it helps (text garbled twice).
 
 Cases: null and empty values are never affected; a value with U+FFFD or C1 control signs is affected, though what U+FFFD
 stood for is lost; other improbable texts stay as they are; a null id gives a row with a null id; repeated rows give one place;
@@ -45,8 +50,10 @@ GARBLED = 0.05
 GROUPS, OWN = 16, 0.02
 #: Rounds of EM, and values that the whole collection counts for in the prior of a source.
 ROUNDS, BEHIND = 3, 50.0
-#: Swaps kept for each value, and times a text may have been garbled.
-KEPT, TIMES = 6, 3
+#: A swap is left out of a value's list if another one gains so much more that no prior could make up for it (the least prior is exp(-27.6)).
+HOPELESS = 60.0
+#: Times a text may have been garbled.
+TIMES = 3
 
 
 def decoded(page: str) -> list[str]:
@@ -238,6 +245,8 @@ def _letters_as_utf8() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = decoded(page)
         for first in (*range(0xC2, 0xE0), 0xE2):
             for second in range(0x80, 0xC0):
+                if _fold(d[second]) == " ":  # the class of all blanks: a common end of a word is no sequence
+                    continue
                 of = np.zeros(n, np.float32)
                 if first == 0xE2:
                     for third in range(0x80, 0xC0):
@@ -308,12 +317,12 @@ _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
 def marked(held: DataFrame, by_group: list[Model], keys: list[str], text: str = "sval") -> DataFrame:
-    """The keys, source, group and text of values that a swap improves or that are `lost` (hold U+FFFD or C1 controls), with the best swaps and their gains.
+    """The keys, source, group and text of values that a swap improves, that are `lost` (hold U+FFFD or C1 controls) or have odd words, with the swaps and their gains.
 
-    Each value of held (keys, source, group, text) is scored under every swap.
+    Each value of held (keys, source, group, text) is scored under every swap. odd: the improbable words of a value that no swap improves.
     """
     first = [*keys, "source", "group"]
-    schema = T.StructType([*(held.schema[k] for k in first), T.StructField("text", T.StringType()), T.StructField("lost", T.BooleanType()), T.StructField("swaps", T.ArrayType(T.IntegerType())), T.StructField("gains", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(held.schema[k] for k in first), T.StructField("text", T.StringType()), T.StructField("lost", T.BooleanType()), T.StructField("swaps", T.ArrayType(T.IntegerType())), T.StructField("gains", T.ArrayType(T.DoubleType())), T.StructField("odd", T.ArrayType(T.StringType()))])
     shared = held.sparkSession.sparkContext.broadcast(by_group)  # bounded by the alphabet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +330,7 @@ def marked(held: DataFrame, by_group: list[Model], keys: list[str], text: str =
         lead, tail = _lead_and_tail()
         for b in batches:
             group, everything = np.asarray(b.column(len(keys) + 1)), b.column(len(first)).to_pylist()
-            rows, lost, swaps, worth = [], [], [], []
+            rows, lost, swaps, worth, odd = [], [], [], [], []
             for g in np.unique(group).tolist():
                 mine = np.flatnonzero(group == g).tolist()
                 for at, joined, starts in _joined([everything[i] for i in mine]):
@@ -336,14 +345,16 @@ def marked(held: DataFrame, by_group: list[Model], keys: list[str], text: str =
                     for i, t, x, p in zip(at, texts, own, pages.tolist()):
                         best, gain = ranked(t, x, p, words[g])
                         gone = _LOST.search(t) is not None
-                        if gone or best:
+                        strange = [] if best else sorted(w for w in x if words[g].odd(w))
+                        if gone or best or strange:
                             rows.append(mine[i])
+                            odd.append(strange)
                             lost.append(gone)
                             swaps.append(best)
                             worth.append(gain)
             if rows:
                 part = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], part.columns[-1].cast(pa.string()), pa.array(lost), pa.array(swaps, pa.list_(pa.int32())), pa.array(worth, pa.list_(pa.float64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], part.columns[-1].cast(pa.string()), pa.array(lost), pa.array(swaps, pa.list_(pa.int32())), pa.array(worth, pa.list_(pa.float64())), pa.array(odd, pa.list_(pa.string()))], names=schema.names)
 
     return held.select(*first, text).mapInArrow(run, schema)
 
@@ -362,16 +373,17 @@ def learn(cases: DataFrame, sizes: DataFrame) -> DataFrame:
         prior = F.create_map(*[F.lit(v) for kv in spread.items() for v in kv])
         rows = each.join(sizes, "source", "left").join(own, ["source", "swap"], "left")
         p = (F.coalesce(F.col("n_own"), F.lit(0.0)) + BEHIND * prior[F.col("swap")]) / (F.coalesce(F.col("n"), F.lit(0)) + BEHIND) if "n_own" in own.columns else prior[F.col("swap")]
-        # The weight of no swap is 1; gains are cut where exp would overflow.
-        rows = rows.withColumn("w", F.greatest(p, F.lit(1e-12)) * F.exp(F.least(F.col("gain"), F.lit(300.0))))
+        # In logarithms, relative to the greatest weight of the value; the weight of no swap is 1.
+        rows = rows.withColumn("l", F.ln(F.greatest(p, F.lit(1e-12))) + F.col("gain"))
+        rows = rows.withColumn("top", F.greatest(F.lit(0.0), F.max("l").over(_by_id()))).withColumn("w", F.exp(F.col("l") - F.col("top"))).withColumn("none", F.exp(-F.col("top")))
         rows = rows.withColumn("all", F.sum("w").over(_by_id()))
-        posterior = materialize(rows.select("id", "source", "swap", (F.col("w") / (1 + F.col("all"))).alias("chance"), (F.col("all") > 1).alias("likely")), "posterior")
+        posterior = materialize(rows.select("id", "source", "swap", (F.col("w") / (F.col("none") + F.col("all"))).alias("chance"), (F.col("all") > F.col("none")).alias("likely")), "posterior")
         # Only likely cases teach: a common word that gains a little by chance, in thousands of values, is no swap.
         taught = posterior.filter("likely")
         sums = taught.groupBy("swap").agg(F.sum("chance").alias("n")).collect()  # one row a swap
         spread = {i: 1e-6 for i in range(len(SWAPS))} | {r.swap: max(1e-6, r.n / total) for r in sums}
         own = taught.groupBy("source", "swap").agg(F.sum("chance").alias("n_own"))
-    best = posterior.groupBy("id").agg(F.max(F.struct("chance", -F.col("swap"))).alias("b"), F.sum("chance").alias("chance"))
+    best = posterior.groupBy("id").agg(F.max(F.struct("chance", -F.col("swap"))).alias("b"), F.least(F.lit(1.0), F.sum("chance")).alias("chance"))
     return best.select("id", (-F.col("b.col2")).alias("swap"), "chance")
 
 
@@ -381,16 +393,21 @@ def _by_id():
     return Window.partitionBy("id")
 
 
-def restore_text(text: str, swap: int, m: Model) -> str:
-    """The text under a swap, in the words that it improves; again while another UTF-8 reading improves it."""
-    s, words = SWAPS[swap], _WordGains(m)
+def restore_text(text: str, swap: int | None, m: Model, table: dict[int, str] | None = None) -> str:
+    """The text under a swap (its mapping, or the learned table), in the words that it improves; again while another UTF-8 reading improves it."""
+    s = None if swap is None else SWAPS[swap]
     for turn in range(TIMES):
-        if s.written == "utf-8":
+        if s is not None and s.written == "utf-8":
             new = read_utf8(text, s.read)
         else:
-            table = mapping(s)
+            table = mapping(s) if table is None or turn else table
+            words = _WordGains(m, table)
             parts = re.split(r"([ \t\r\n]+)", text)
-            good = [bool(words[swap, w]) for w in parts]
+            good = [bool(words[w]) for w in parts]
+            changed = [w.translate(table) != w for w in parts]
+            # In a value garbled throughout, words that say little by themselves follow the others, unless they clearly lose.
+            if sum(good) >= WHOLE * sum(changed):
+                good = [g or c and (words.raw(w) > -LEAST or not _plausible(w) and _plausible(w.translate(table))) for g, c, w in zip(good, changed, parts)]
             # A sign alone follows the words around it.
             new = "".join(w.translate(table) if good[i] or len(w) == 1 and (i > 1 and good[i - 2] or i + 2 < len(parts) and good[i + 2]) else w for i, w in enumerate(parts))
         if new == text:
@@ -406,6 +423,10 @@ def restore_text(text: str, swap: int, m: Model) -> str:
 
 #: What a word has to gain before it counts as improved, and words whose gains are remembered.
 LEAST, WORDS = 3.0, 200_000
+#: Share of the words a table changes that it has to improve before the others follow.
+WHOLE = 0.6
+#: Mean log of a word's bigrams, against an even spread, below which its signs are odd.
+ODD = -1.0
 _ODD_WORD = re.compile(r"[A-Za-z\u00c0-\u024f][^\s\w]*[\u0400-\u04ff]|[\u0400-\u04ff][^\s\w]*[A-Za-z\u00c0-\u024f]|[\u2190-\u2bff\u0080-\u009f\ufffd]")
 
 
@@ -417,20 +438,20 @@ def _plausible(word: str) -> bool:
 
 
 class _WordGains(dict):
-    """By (swap, word): what the word gains under a single-byte swap, 0 if that is too little or the new word implausible."""
+    """By word: what it gains under a table, 0 if that is too little or the new word implausible."""
 
-    def __init__(self, m: Model):
-        self.m = m
+    def __init__(self, m: Model, table: dict[int, str]):
+        self.m, self.table = m, table
+
+    def raw(self, word: str) -> float:
+        return _score(classes(f" {word.translate(self.table)} "), self.m.gain) - _score(classes(f" {word} "), self.m.gain)
 
-    def __missing__(self, key: tuple[int, str]) -> float:
-        swap, word = key
-        new = word.translate(mapping(SWAPS[swap]))
+    def __missing__(self, word: str) -> float:
+        new = word.translate(self.table)
         value = 0.0
-        if new != word and len(word.strip("\xa0")) > 1 and new.count("\xa0") <= word.count("\xa0") and _plausible(new):
-            value = _score(classes(f" {new} "), self.m.gain) - _score(classes(f" {word} "), self.m.gain)
-        if len(self) >= WORDS:
-            self.clear()
-        self[key] = value = value if value > LEAST else 0.0
+        if new != word and _allowed(word, new):
+            value = self.raw(word)
+        self[word] = value = value if value > LEAST else 0.0
         return value
 
 
@@ -451,11 +472,16 @@ class _WordSwaps(dict):
     """By word: the single-byte swaps that improve it to a plausible word, with what it gains (as _WordGains has it). Learn words first."""
 
     def __init__(self, m: Model):
-        self.m = m
+        self.m, self._odd = m, set()
+
+    def odd(self, word: str) -> bool:
+        """Whether the bigrams of a learned word are improbable where they hold signs beyond ASCII."""
+        return word in self._odd
 
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) >= WORDS:
             self.clear()
+            self._odd.clear()
         new = [w for w in words if w not in self]
         block, size = [], 0
         for w in new:
@@ -477,6 +503,8 @@ class _WordSwaps(dict):
         a, b = signs[at], signs[at + 1]
         start = np.searchsorted(at, firsts)  # each word holds a sign beyond ASCII
         before = self.m.gain[maps[0, a], maps[0, b]]
+        mean = np.add.reduceat(before, start) / np.diff(np.r_[start, len(at)])
+        self._odd.update(words[i] for i in np.flatnonzero(mean < ODD).tolist())
         change = self.m.gain[maps[1:, a], maps[1:, b]]
         change -= before
         worth = np.add.reduceat(change, start, axis=1).T
@@ -497,13 +525,235 @@ def ranked(text: str, own: set[str], pages: int, words: _WordSwaps) -> tuple[lis
     for w in sorted(own):
         for k, x in words[w]:
             g[k] = g.get(k, 0.0) + x
-    best = sorted((k for k in g if g[k] > LEAST), key=lambda k: (-g[k], k))[:KEPT]
+    top = max(g.values(), default=0.0)
+    best = sorted((k for k in g if g[k] > max(LEAST, top - HOPELESS)), key=lambda k: (-g[k], k))
     return best, [float(g[k]) for k in best]
 
 
+#: Log chances before the evidence: the prior of the table's own letter for a sign, of a letter of another page at that byte, and of any other letter.
+OWN_LETTER, PAGE_LETTER, ANY_LETTER = (float(np.log(x)) for x in (0.95, 1e-3, 1e-5))
+#: Rounds of EM over a cipher, and the weight of the bigram evidence for one sign (its bigrams are not independent).
+CIPHER_ROUNDS, EVIDENCE = 8, 0.5
+#: An unknown cipher has to gain so much more than it costs, over at least so many bigrams; a value under it has to gain so much.
+MARGIN, LEAST_BIGRAMS, SURE = 30.0, 30, 8.0
+# Further pages of one byte a sign, from whose tables the EM over an unknown cipher may start.
+STARTS = ["cp1253", "cp1254", "cp1257", "cp855", "cp857", "cp775", "cp737", "cp869", "iso8859-3", "iso8859-4", "iso8859-7", "iso8859-9", "iso8859-10", "iso8859-13", "iso8859-14", "iso8859-16", "koi8-u", "mac-latin2", "mac-greek", "mac-turkish", "mac-iceland", "kz1048", "ptcp154"]
+
+
+@lru_cache(None)
+def _letters() -> tuple[list[str], np.ndarray]:
+    """The characters a sign may stand for (all letters of the pages), and their classes."""
+    found = sorted({c for p in PAGES for c in decoded(p)[128:] if c.isalpha()})
+    return found, classes("".join(found))
+
+
+def _conditional(gain: np.ndarray) -> np.ndarray:
+    """log P(b after a) of a model's bigrams."""
+    top = gain.max(1, keepdims=True)
+    return gain - top - np.log(np.exp(gain - top).sum(1, keepdims=True))
+
+
+class _Cipher:
+    """The bigrams of one source's words, read as a letter sequence that went through an unknown mapping of letters to signs.
+
+    signs: those beyond ASCII first (`own` of them); the likelihood of a reading is that of the letters' bigrams, of their case, and of
+    each sign given its letter (so that two signs for one letter share its chance).
+    """
+
+    def __init__(self, rows: "pd.DataFrame", m: Model):
+        self.signs = sorted({*rows.a, *rows.b}, key=lambda c: (c.isascii(), c))
+        number = {c: i for i, c in enumerate(self.signs)}
+        self.counts = np.zeros((len(number), len(number)), np.float32)
+        np.add.at(self.counts, (rows.a.map(number).to_numpy(int), rows.b.map(number).to_numpy(int)), rows.n.to_numpy(float))
+        self.own = sum(not c.isascii() for c in self.signs)
+        self.total = self.counts[:, : self.own].sum(0)
+        outside = np.array([c.isascii() and not c.isalpha() for c in self.signs])
+        self.first = self.counts[outside][:, : self.own].sum(0)
+        self.cond = _conditional(m.gain)
+
+    def case(self, upper: np.ndarray, k: slice | int = slice(None)) -> np.ndarray:
+        """Log chance of a sign's places if it stands for capitals or small letters: capitals mostly begin words."""
+        first, inside = self.first[k], self.total[k] - self.first[k]
+        return np.where(upper, np.log(0.3) * first + np.log(0.02) * inside, np.log(0.7) * first + np.log(0.98) * inside)
+
+    def likelihood(self, table: dict[int, str]) -> float:
+        to = [c.translate(table)[:1] or c for c in self.signs]
+        at = classes("".join(to))
+        upper = np.array([c.isupper() for c in to[: self.own]], bool)
+        share: dict[str, float] = {}
+        for c, n in zip(to, self.total.tolist()):
+            share[c] = share.get(c, 0.0) + n
+        emission = sum(n * np.log(n / share[c]) for c, n in zip(to, self.total.tolist()) if n)
+        return float((self.counts * self.cond[np.ix_(at, at)]).sum() + self.case(upper).sum() + emission)
+
+    def em(self, prior: np.ndarray) -> np.ndarray:
+        """The distribution (sign beyond ASCII, letter) of what each sign stands for; prior: its log chances before the evidence."""
+        chars, of = _letters()
+        upper = np.array([c.isupper() for c in chars])
+        known = classes("".join(self.signs))
+        n, own = len(self.cond), self.own
+        spread = np.zeros((len(self.signs), n), np.float32)
+        spread[np.arange(len(known)), known] = 1
+        q = np.exp(prior - prior.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        for k in range(own):
+            spread[k] = np.bincount(of, q[k], n)
+        ahead, behind = spread @ self.cond, spread @ self.cond.T
+        order = np.argsort(-self.total, kind="stable")
+        held = self.total @ q
+        for _ in range(CIPHER_ROUNDS):
+            for k in order.tolist():
+                # E-step of one sign: the bigrams with its neighbours as they are read now.
+                seen = self.counts[:, k] @ ahead + self.counts[k] @ behind
+                # M-step: the chance of the sign given the letter, from what the other signs take of it.
+                held -= self.total[k] * q[k]
+                theta = np.log((self.total[k] + 0.5) / (held + self.total[k] + 1.0))
+                log = EVIDENCE * (seen[of] + self.case(upper, k) + self.total[k] * theta) + prior[k]
+                new = np.exp(log - log.max())
+                q[k] = new / new.sum()
+                held += self.total[k] * q[k]
+                spread[k] = np.bincount(of, q[k], n)
+                ahead[k], behind[k] = spread[k] @ self.cond, self.cond @ spread[k]
+        return q
+
+
+def learned_table(rows: "pd.DataFrame", swap: Swap, m: Model) -> dict[int, str]:
+    """The mapping of signs to letters of a source that suffered a swap, from the bigrams (a, b, n) of its affected words.
+
+    The swap's own table is the prior: where the bigrams say little, it stays; a sign it maps to something improbable is learned anew.
+    """
+    cipher = _Cipher(rows, m)
+    table, chars = mapping(swap), _letters()[0]
+    number = {c: i for i, c in enumerate(chars)}
+    prior = np.full((cipher.own, len(chars)), ANY_LETTER)
+    byte = _bytes_of(swap.read)
+    for i, c in enumerate(cipher.signs[: cipher.own]):
+        if c in byte:
+            for p in PAGES:
+                if (k := number.get(decoded(p)[byte[c]])) is not None:
+                    prior[i, k] = PAGE_LETTER
+        if (k := number.get(table.get(ord(c), c))) is not None:
+            prior[i, k] = OWN_LETTER
+    q = cipher.em(prior)
+    out, now = dict(table), cipher.likelihood(table)
+    for i, c in enumerate(cipher.signs[: cipher.own]):
+        k = int(q[i].argmax())
+        to = table.get(ord(c), c)
+        if to in number and chars[k] != to and q[i, k] > 0.99:
+            # A letter is learned against the table only if the reading of all words gains more than its prior costs.
+            other = out | {ord(c): chars[k]}
+            new = cipher.likelihood(other)
+            if EVIDENCE * (new - now) > OWN_LETTER - prior[i, k]:
+                out, now = other, new
+    return out
+
+
+@lru_cache(None)
+def _starting_tables() -> list[dict[int, str]]:
+    known = [mapping(s) for s in SWAPS[len(PAGES) :]]
+    return known + [mapping(Swap(r, w)) for r in ("cp1252", "cp1251", "cp1250", "latin-1") for w in STARTS]
+
+
+def unknown_table(rows: "pd.DataFrame", m: Model, known: float) -> dict[int, str] | None:
+    """The one cipher of all bad words of a source, from their bigrams (a, b, n), or null if it does not read them better than what is known.
+
+    known: the likelihood of the words as the known swaps read them. The gain over it has to exceed what the cipher costs
+    (a letter of the alphabet for each sign) by MARGIN.
+    """
+    cipher = _Cipher(rows, m)
+    if not cipher.own or cipher.counts.sum() < LEAST_BIGRAMS:
+        return None
+    chars = _letters()[0]
+    number = {c: i for i, c in enumerate(chars)}
+    start = max(_starting_tables(), key=cipher.likelihood)
+    best, top = None, 0.0
+    for first in ({}, start):
+        prior = np.full((cipher.own, len(chars)), ANY_LETTER)
+        for i, c in enumerate(cipher.signs[: cipher.own]):
+            if first and (k := number.get(first.get(ord(c), c))) is not None:
+                prior[i, k] = PAGE_LETTER
+        to = [chars[k] for k in cipher.em(prior).argmax(1).tolist()]
+        table = {ord(c): x for c, x in zip(cipher.signs, to) if x != c}
+        worth = EVIDENCE * (cipher.likelihood(table) - known) - len(table) * np.log(len(chars)) - MARGIN
+        if worth > top:
+            best, top = table, worth
+    return best
+
+
+def _odd(word: str, m: Model) -> bool:
+    """Whether a word's bigrams with signs beyond ASCII are improbable on the mean."""
+    c = classes(f" {word} ")
+    beyond = np.array([not x.isascii() for x in f" {word} "])
+    return float(m.gain[c[:-1], c[1:]][beyond[:-1] | beyond[1:]].mean()) < ODD
+
+
+def _pairs_of(word: str) -> Iterator[tuple[str, str]]:
+    """Bigrams of a word that hold a sign beyond ASCII, blanks around it."""
+    w = f" {word} "
+    return ((a, b) for a, b in zip(w, w[1:]) if not (a.isascii() and b.isascii()))
+
+
+def ciphers(cases: DataFrame, chosen: DataFrame, by_group: list[Model]) -> DataFrame:
+    """(source, swap, signs, letters): for each source and single-byte swap of its likely cases the learned mapping, and for a source with an unknown cipher that, with swap null.
+
+    The EM of a source sees bigram counts by swap, a number of rows that the alphabet bounds.
+    """
+    shared = cases.sparkSession.sparkContext.broadcast(by_group)
+    likely = cases.join(chosen, "id").filter((F.col("chance") > 0.5) & (F.col("swap") >= len(PAGES))).select("source", "group", "swap", "text")
+
+    def improved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(source, group, swap, word) of the words that the value's swap improves, and of its odd ones: its table may lack their letters."""
+        gains: dict = {}
+        for b in batches:
+            at, words = [], []
+            for i, (g, k, t) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3)))):
+                w = gains.setdefault((g, k), _WordGains(shared.value[g], mapping(SWAPS[k])))
+                if len(w) > WORDS:
+                    w.clear()
+                for x in words_of(t):
+                    if w[x] or _odd(x, shared.value[g]):
+                        at.append(i)
+                        words.append(x)
+            keys = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(keys.column(j) for j in range(3)), pa.array(words, pa.string())], names=["source", "group", "swap", "word"])
+
+    words = likely.mapInArrow(improved, "source string, group int, swap int, word string")
+    odd = cases.filter("not lost and size(swaps) = 0").select("source", "group", F.lit(-1).alias("swap"), F.explode("odd").alias("word"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x, y = [], [], []
+            for i, w in enumerate(b.column(3).to_pylist()):
+                for a, c in _pairs_of(w):
+                    at.append(i)
+                    x.append(a)
+                    y.append(c)
+            keys = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(keys.column(j) for j in range(3)), pa.array(x, pa.string()), pa.array(y, pa.string())], names=["source", "group", "swap", "a", "b"])
+
+    counted = words.unionByName(odd).distinct().mapInArrow(pairs, "source string, group int, swap int, a string, b string").groupBy("source", "group", "swap", "a", "b").agg(F.count("*").alias("n"))
+
+    def fit(key, rows):
+        import pandas as pd
+
+        source, group = key
+        m, found, known = shared.value[int(group)], [], 0.0
+        for swap, own in rows.groupby("swap"):  # -1: odd words without a swap
+            table = learned_table(own, SWAPS[swap], m) if swap >= 0 else {}
+            known += _Cipher(own, m).likelihood(table)
+            if swap >= 0:
+                found.append((source, int(swap), table))
+        if (table := unknown_table(rows.groupby(["a", "b"], as_index=False).n.sum(), m, known)) is not None:
+            found.append((source, None, table))
+        out = pd.DataFrame([(x, k, [chr(c) for c in t], list(t.values())) for x, k, t in found], columns=["source", "swap", "signs", "letters"])
+        return out.astype({"swap": "Int32"})
+
+    return counted.groupBy("source", "group").applyInPandas(fit, "source string, swap int, signs array<string>, letters array<string>")
+
+
 @dataclass
 class Findings:
-    """places: (keys, text, lost, source, group, swap, chance) of affected values; models: the bigrams, by group."""
+    """places: (keys, text, lost, source, group, swap, chance, signs, letters) of affected values, with the learned mapping; models: the bigrams, by group."""
 
     places: DataFrame
     models: list[Model]
@@ -518,13 +768,37 @@ def find(values: DataFrame, sources: DataFrame, keys: list[str], text: str = "sv
     by_group = models(bigram_counts(values, text), group_counts(held, text))
     cases = marked(held, by_group, keys, text)
     cases = materialize(cases.withColumn("id", F.xxhash64(*keys, "text")).dropDuplicates(["id", *keys]), "marked")
-    chosen = learn(cases, sizes)
-    places = cases.join(chosen, "id", "left").filter("lost or chance > 0.5")
-    return Findings(places.select(*keys, "text", "lost", "source", "group", "swap", "chance"), by_group)
+    chosen = materialize(learn(cases, sizes), "chosen")
+    tables = materialize(ciphers(cases, chosen, by_group), "ciphers")
+    names = [*keys, "text", "lost", "source", "group", "swap", "chance", "signs", "letters"]
+    both = cases.join(chosen, "id", "left")
+    # In a source with an unknown cipher the values that it improves are its cases, whatever swap might explain a part of them.
+    other = materialize(under_unknown(both.filter("not lost").filter(F.col("swap").isNull() | (F.col("swap") >= len(PAGES))).join(tables.filter("swap is null").select("source", "signs", "letters"), "source"), by_group, ["id", *names]), "unknown")
+    known = both.filter("lost or chance > 0.5").join(other.select("id", *keys), ["id", *keys], "left_anti").join(tables.filter("swap is not null"), ["source", "swap"], "left")
+    return Findings(known.select(names).unionByName(other.select(names)), by_group)
+
+
+def under_unknown(cases: DataFrame, by_group: list[Model], names: list[str]) -> DataFrame:
+    """The cases that their source's unknown cipher (signs, letters) improves enough, with its chance."""
+    shared = cases.sparkSession.sparkContext.broadcast(by_group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gains = []
+            for g, t, x, y in zip(*(b.column(k).to_pylist() for k in ("group", "text", "signs", "letters"))):
+                w = _WordGains(shared.value[g], dict(zip(map(ord, x), y)))
+                gains.append(sum(w[x] for x in words_of(t)))
+            keep = pa.array(np.flatnonzero(np.array(gains) > SURE))
+            chance = pa.array([1 - float(np.exp(-g)) for g in gains], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in b.schema.names), chance], names=[*b.schema.names, "chance"]).take(keep)
+
+    wanted = cases.select(*[n for n in names if n not in ("swap", "chance")])
+    found = wanted.mapInArrow(run, T.StructType([*wanted.schema, T.StructField("chance", T.DoubleType())]))
+    return found.withColumn("swap", F.lit(None).cast("int")).select(names)
 
 
 def restored(found: Findings, keys: list[str]) -> DataFrame:
-    """The places of affected values with the text as first written where it can be told (else null), and the swap's name."""
+    """The places of affected values with the text as first written where it can be told (else null), and the swap's name ('unknown' for a cipher outside PAGES)."""
     places = found.places
     schema = T.StructType([*(places.schema[k] for k in keys), T.StructField("text", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("swap", T.StringType()), T.StructField("chance", T.DoubleType())])
     shared = places.sparkSession.sparkContext.broadcast(found.models)
@@ -532,9 +806,14 @@ def restored(found: Findings, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = len(keys)
-            texts, swaps, groups = (b.column(n + i).to_pylist() for i in (0, 1, 3))
-            new = [None if s is None else restore_text(t, s, shared.value[g]) for t, s, g in zip(texts, swaps, groups)]
-            new = [x if x != t else None for x, t in zip(new, texts)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(new, pa.string()), pa.array([None if s is None else NAMES[s] for s in swaps], pa.string()), b.column(n + 2)], names=schema.names)
-
-    return places.select(*keys, "text", F.when(F.col("chance") > 0.5, F.col("swap")).cast("int").alias("swap"), "chance", "group").mapInArrow(run, schema)
+            texts, swaps, groups, signs, to = (b.column(n + i).to_pylist() for i in (0, 1, 3, 4, 5))
+            new, names = [], []
+            for t, s, g, x, y in zip(texts, swaps, groups, signs, to):
+                table = dict(zip(map(ord, x), y)) if x else None
+                out = None if s is None and not table else restore_text(t, s, shared.value[g], table)
+                new.append(out if out != t else None)
+                names.append(NAMES[s] if s is not None else "unknown" if table else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(new, pa.string()), pa.array(names, pa.string()), b.column(n + 2)], names=schema.names)
+
+    sure = F.col("chance") > 0.5
+    return places.select(*keys, "text", F.when(sure, F.col("swap")).cast("int").alias("swap"), "chance", "group", F.when(sure, F.col("signs")).alias("signs"), F.when(sure, F.col("letters")).alias("letters")).mapInArrow(run, schema)
