@@ -103,3 +103,10 @@ def period_seconds(text: Column) -> Column:
         found = F.regexp_extract(text, rf"(-?\d+){u}", 1)
         total = total + F.coalesce(found.try_cast("bigint"), F.lit(0)) * n
     return F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint")).when(text.rlike(r"^(-?\d+[yMmdhs])+$"), total)
+
+
+def words_in(text: str) -> list[str]:
+    """The lower-cased words of one text on the driver (a query)."""
+    import re
+
+    return re.findall(r"[^\W_]+", text.lower())

@@ -53,3 +53,30 @@ def restrict(rows: DataFrame, *sets: DataFrame) -> DataFrame:
     for s in sets:
         rows = rows.join(s, "doc_id", "left_semi")
     return rows
+
+
+def section_weights(wf: str, sections: int = 255) -> dict[int, int]:
+    """Weights by section of a string of hexadecimal digits read from the right: the last one is of section 1, the first one of all beyond."""
+    digits = [int(c, 16) for c in reversed(wf)] or [1]
+    return {k + 1: digits[min(k, len(digits) - 1)] for k in range(sections)}
+
+
+def weighted(post: DataFrame, wf: str) -> DataFrame:
+    """Postings whose section has a weight; section 0 (of limits) always stays."""
+    none = [k for k, w in section_weights(wf).items() if not w]
+    return post.filter(~F.col("section").isin(none)) if none else post
+
+
+def by_category(urlinfo: DataFrame, categories: DataFrame, path: str) -> DataFrame:
+    """(doc_id) of pages whose category value names a category (rec_id, path) at or below a path."""
+    below = categories.filter(F.col("path").startswith(path)).select(F.col("rec_id").cast("bigint").alias("c"))
+    rows = urlinfo.filter(plain_name(F.col("sname")) == "category").select(F.col("url_id").alias("doc_id"), F.col("sval").try_cast("bigint").alias("c"))
+    return rows.join(below, "c", "left_semi").select("doc_id").distinct()
+
+
+def limit_key(col: Column, kind: str) -> Column:
+    """The key of a limit of one's own: hex8str, strcrc32, int, hour, minute, hostname or str2crc32 (by its first two signs)."""
+    return {
+        "hex8str": lambda: F.rpad(F.lower(col), 16, "0"), "strcrc32": lambda: F.crc32(col.cast("binary")), "int": lambda: col.cast("bigint"), "hour": lambda: F.floor(col / 3600),
+        "minute": lambda: F.floor(col / 60), "hostname": lambda: F.crc32(F.lower(F.regexp_extract(col, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)).cast("binary")), "str2crc32": lambda: F.crc32(F.substring(col, 1, 2).cast("binary")),
+    }[kind]()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.config import CLONE_STATUS
 
@@ -52,8 +53,12 @@ def add_if_absent(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFram
     return table.unionByName(rows.dropDuplicates(key).join(table.select(*key), key, "left_anti").select(table.columns))
 
 
-def update(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """The table with the not-null values of changes (one row a key)."""
+def update(table: DataFrame, changes: DataFrame, key: list[str], nulls: bool = False) -> DataFrame:
+    """The table with the values of changes (one row a key): those not null, or with nulls=True all of them."""
+    if nulls:
+        new = changes.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"new_{c}") for c in changes.columns if c not in key])
+        joined = table.join(new, key, "left")
+        return joined.select([F.when(F.col("_hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in changes.columns and c not in key else F.col(c) for c in table.columns])
     new = changes.select(*key, *[F.col(c).alias(f"new_{c}") for c in changes.columns if c not in key])
     joined = table.join(new, key, "left")
     return joined.select([F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if c in changes.columns and c not in key else F.col(c) for c in table.columns])
@@ -64,6 +69,51 @@ def delete(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return table.join(gone.select(*key).distinct(), key, "left_anti")
 
 
+def clear(tables: dict[str, tuple[DataFrame, str]], pages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables, each with its column of page ids, without the pages (rec_id) of a limit; without any row if there is no limit."""
+    if pages is None:
+        return {name: df.limit(0) for name, (df, _) in tables.items()}
+    return {name: delete(df, pages.select(F.col("rec_id").alias(column)), [column]) for name, (df, column) in tables.items()}
+
+
+def clone_ranks(url: DataFrame) -> DataFrame:
+    """(crc32, clones, top_rank): of each content that several pages hold, their number and greatest popularity."""
+    own = url.filter((F.col("crc32") != 0) & F.col("status").isin(200, 206, 304, 2200, 2206, 2304))
+    return own.groupBy("crc32").agg(F.count("*").alias("clones"), F.max("pop_rank").alias("top_rank")).filter("clones > 1")
+
+
+def without_clones(post: DataFrame, url: DataFrame) -> DataFrame:
+    """Postings without those of marked clones."""
+    return post.join(url.filter(F.col("status") >= CLONE_STATUS).select(F.col("rec_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+def find_by_url(url: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(url, rec_id) of the addresses (url) that are known."""
+    return addresses.select("url").distinct().join(url.select("url", "rec_id"), "url")
+
+
+def tracked(searches: list[tuple[str, DataFrame]], when: int, seconds: float = 0.0) -> DataFrame:
+    """The query log of searches (words, their documents): (qwords, qtime, wtime, found), one row each, even without hits."""
+    out = None
+    for words, hits in searches:
+        row = hits.agg(F.count("*").alias("found")).select(F.lit(words).alias("qwords"), F.lit(when).alias("qtime"), F.lit(int(seconds * 1000)).alias("wtime"), "found")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def running_sums(rows: DataFrame, key: str, order: str, value: Column, width: int = 1 << 12) -> DataFrame:
+    """rows with so_far: the sum of value up to and including the row, by key in the order of a whole number.
+
+    Sums of stretches of the order come first, so that a key with any share of the rows is spread over its stretches.
+    """
+    cut = rows.withColumn("_v", value).withColumn("_cut", F.floor(F.col(order) / width))
+    stretch = cut.groupBy(key, "_cut").agg(F.sum("_v").alias("_s"))
+    base = stretch.select(F.col(key).alias("_k"), F.col("_cut").alias("_c"), (F.sum("_s").over(Window.partitionBy(key).orderBy("_cut")) - F.col("_s")).alias("_base"))
+    joined = cut.join(base, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cut").eqNullSafe(F.col("_c")))
+    inside = F.sum("_v").over(Window.partitionBy(key, "_cut").orderBy(order))
+    return joined.withColumn("so_far", F.col("_base") + inside).drop("_v", "_cut", "_k", "_c", "_base")
+
+
 def live_postings(post: DataFrame, deletions: DataFrame) -> DataFrame:
     """Postings (doc_id, stamp, ...) that are newer than the deletion (doc_id, stamp) of their document."""
     last = deletions.groupBy("doc_id").agg(F.max("stamp").alias("gone"))
@@ -107,11 +157,6 @@ def sitemap(url: DataFrame) -> DataFrame:
     return own.join(F.broadcast(ends)).select(F.col("url").alias("loc"), "last_mod_time", F.round(priority, 6).alias("priority"))  # one row
 
 
-def track(query: str, found: int, seconds: float, when: str, parameters: dict[str, str]) -> dict:
-    """A row of the query log."""
-    return {"qwords": query, "found": found, "qtime": when, "wtime": int(seconds * 1000), "info": dict(parameters)}
-
-
 def term_counts(post: DataFrame, words: list[str]) -> DataFrame:
     """(word, hits, documents) of query words."""
     return post.filter(F.col("word").isin(words)).groupBy("word").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents"))

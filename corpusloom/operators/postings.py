@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,10 +13,10 @@ from corpusloom.session import broadcast_if_small
 
 
 def section_items(urlinfo: DataFrame, sections: DataFrame, names: list[str]) -> DataFrame:
-    """(doc_id, section, text): the distinct values of the named sections."""
+    """(doc_id, section, text): the distinct values of the named sections, laid out by document (the one exchange of an index build)."""
     declared = broadcast_if_small(sections.filter(F.col("sname").isin(names)).select(F.col("sname").alias("n"), F.col("secno").alias("section")))
     rows = urlinfo.filter("sval is not null and sval <> ''").select(F.col("url_id").alias("doc_id"), plain_name(F.col("sname")).alias("n"), F.col("sval").alias("text"))
-    return rows.join(declared, "n").select("doc_id", "section", "text").distinct()
+    return rows.join(declared, "n").select("doc_id", "section", "text").repartition("doc_id").distinct()
 
 
 def postings(items: DataFrame, settings: Settings = Settings(), token=words) -> DataFrame:
@@ -70,7 +70,14 @@ def write_postings(post: DataFrame, path: str, by: str = "word", files: int | No
         rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
     else:
         rows = post.repartitionByRange(files, "word", "doc_id") if files else post.repartitionByRange("word", "doc_id")
-        rows.sortWithinPartitions("word", "doc_id", "pos").write.mode("overwrite").parquet(path)
+        # Small row groups: their least and greatest words let a lookup skip nearly all of a file.
+        rows.sortWithinPartitions("word", "doc_id", "pos").write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, words: list[str] | None = None) -> DataFrame:
+    """Stored postings; of the given words only those row groups are read that may hold them."""
+    rows = spark.read.parquet(path)
+    return rows if words is None else rows.filter(F.col("word").isin(words))
 
 
 def anchor_postings(anchors: DataFrame) -> DataFrame:
@@ -82,3 +89,39 @@ def anchor_postings(anchors: DataFrame) -> DataFrame:
 def without_stopwords(post: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Postings of words that are in no stop list."""
     return post.join(broadcast_if_small(stopwords.select(F.lower("word").alias("word")).distinct()), "word", "left_anti")
+
+
+def stopwords_among(stopwords: DataFrame, words: list[str], lang: str | None = None) -> frozenset[str]:
+    """Those of some words (of a query, say) that the stop lists hold; lang: only lists whose language begins with it or which it begins with."""
+    rows = stopwords.filter(F.lower("word").isin(words))
+    if lang:
+        rows = rows.filter(F.col("lang").isNull() | F.col("lang").startswith(lang) | F.lit(lang).startswith(F.col("lang")))
+    return frozenset(r.w for r in rows.select(F.lower("word").alias("w")).distinct().collect())  # at most the words given
+
+
+def with_parts(post: DataFrame) -> DataFrame:
+    """Postings of loose words, and at the same positions the words that such a word is made of."""
+    parts = F.filter(words(F.col("word")), lambda x: x != F.col("word"))
+    return post.unionByName(post.select("doc_id", "section", "pos", F.explode(parts).alias("word")))
+
+
+def content_hashes(items: DataFrame) -> DataFrame:
+    """(doc_id, hash): one hash of all distinct section texts of a document; equal contents have equal hashes."""
+    own = F.struct("section", F.xxhash64("text").alias("a"), F.md5(F.col("text").cast("binary")).alias("b"))
+    ordered = F.array_sort(F.collect_list(own))  # of hashes, not of texts
+    return items.groupBy("doc_id").agg(F.md5(F.to_json(ordered).cast("binary")).alias("hash"))
+
+
+def joined_items(items: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, section, t): the texts of a section joined by blanks, the first one alone where sections (section, single) allow one value."""
+    one = broadcast_if_small(sections.select("section", "single"))
+    texts = items.join(one, "section").groupBy("doc_id", "section").agg(F.max("single").alias("single"), F.sort_array(F.collect_list("text")).alias("all"))
+    return texts.select("doc_id", "section", F.when(F.col("single") == 1, F.col("all")[0]).otherwise(F.array_join("all", " ")).alias("t"))
+
+
+def within_size(items: DataFrame, most: int, least: int = 0) -> DataFrame:
+    """Items (doc_id, section, text) of documents of at least so many characters, in order of section and text until the size limit is reached."""
+    n = F.length("text").cast("bigint")
+    whole = Window.partitionBy("doc_id")
+    before = F.sum(n).over(whole.orderBy("section", "text").rowsBetween(Window.unboundedPreceding, 0)) - n
+    return items.withColumn("_whole", F.sum(n).over(whole)).withColumn("_before", before).filter((F.col("_whole") >= least) & (F.col("_before") < most)).drop("_whole", "_before")

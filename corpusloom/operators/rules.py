@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.names import plain_name
 from corpusloom.functions.url import part
 from corpusloom.session import broadcast_if_small
 
@@ -65,6 +66,65 @@ def first_method(col: Column, rules: list[tuple[str, str, str]], default: str =
     return out
 
 
+def filtered_method(col: Column, given: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The method of a URL that comes with a method of its server: disallow stays; checkonly and hrefonly are not raised to allow; skip yields to disallow only."""
+    found = first_method(col, rules, "")
+    kept = (given == "disallow") | (found == "") | given.isin("checkonly", "hrefonly") & (found == "allow") | (given == "skip") & (found != "disallow")
+    return F.when(kept, given).otherwise(found)
+
+
+def first_section_rule(urlinfo: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(doc_id, method, rule): of rules (method, section, kind, pattern) the first that a section value of the page matches. One pass, one row a page."""
+    if len(rules) > MAX_RULES:
+        raise ValueError("too many rules")
+    name, at = plain_name(F.col("sname")), F.lit(None).cast("int")
+    for i, (_, section, kind, pattern) in reversed(list(enumerate(rules))):
+        at = F.when((name == section) & match(F.col("sval"), kind, pattern), i).otherwise(at)
+    methods = F.array(*[F.lit(m) for m, *_ in rules])
+    hit = urlinfo.select(F.col("url_id").alias("doc_id"), at.alias("rule")).filter("rule is not null").groupBy("doc_id").agg(F.min("rule").alias("rule"))
+    return hit.select("doc_id", F.element_at(methods, F.col("rule") + 1).alias("method"), "rule")
+
+
+def indexed_pages(pages: DataFrame, urlinfo: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """pages (doc_id, ...) with indexed: whether the first of the rules indexif and noindexif that holds lets them in; without one they are."""
+    hit = first_section_rule(urlinfo, rules).select("doc_id", "method")
+    return pages.join(hit, "doc_id", "left").withColumn("indexed", F.coalesce(F.col("method") != "noindexif", F.lit(True))).drop("method")
+
+
+def sub_section(urlinfo: DataFrame, section: str, rules: list[tuple[str, str, str, str]], loose: bool = False) -> DataFrame:
+    """(doc_id, value): the tag or category that rules (value, section, kind, pattern) give a page; loose: only where it has none of its own."""
+    hit = first_section_rule(urlinfo, rules).select("doc_id", F.col("method").alias("value"))
+    if not loose:
+        return hit
+    own = urlinfo.filter((plain_name(F.col("sname")) == section) & (F.col("sval") != "")).select(F.col("url_id").alias("doc_id")).distinct()
+    return hit.join(own, "doc_id", "left_anti")
+
+
+def server_by_rules(col: Column, rules: list[tuple[int, int, str, str]]) -> Column:
+    """The id of the first server (order, id, kind, pattern) in order that matches, whatever its kind: begin, wild, regex or subnet."""
+    out = F.lit(None).cast("int")
+    for _, number, kind, pattern in sorted(rules, reverse=True):
+        out = F.when(match(col, kind, pattern), number).otherwise(out)
+    return out
+
+
+def alias(col: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The address a page is read from: of rules (kind, pattern, to) the first that matches; begin puts `to` for the prefix, regex a template with $1..$9. Null without one."""
+    out = F.lit(None).cast("string")
+    for kind, pattern, to in reversed(rules):
+        new = F.concat(F.lit(to), F.substring(col, F.lit(len(pattern) + 1), F.length(col))) if kind == "begin" else captures(col, pattern, to)
+        out = F.when(match(col, kind, pattern), new).otherwise(out)
+    return out
+
+
+def reverse_alias(col: Column, rules: list[tuple[str, str]]) -> Column:
+    """The address shown for one that was read: the first prefix (to) of rules (pattern, to) put back; others stay."""
+    out = col
+    for pattern, to in reversed(rules):
+        out = F.when(col.startswith(to), F.concat(F.lit(pattern), F.substring(col, F.lit(len(to) + 1), F.length(col)))).otherwise(out)
+    return out
+
+
 def captures(col: Column, pattern: str, template: str) -> Column:
     """The template with $0..$9 as groups of the pattern; null where it does not match."""
     parts = re.split(r"(\$\d)", template)
@@ -128,6 +188,22 @@ def robots_allows(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(first, "id", "left").withColumn("allowed", F.coalesce("a", F.lit(True))).drop("a")
 
 
+def robots_table(pages: DataFrame, agent: str = "*") -> DataFrame:
+    """(host, ordre, allow, pattern as regex) of robots.txt texts (host, text): the rules for the agent, else those for all."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for host, text in zip(b["host"], b["text"]):
+                by = parse_robots(text or "")["agents"]
+                own = next((by[a] for a in by if a != "*" and a in agent.lower()), by.get("*", []))
+                rows += [(host, i, allow, robots_regex(p)) for i, (allow, p) in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["host", "ordre", "allow", "pattern"])
+
+    return pages.select("host", "text").mapInPandas(run, "host string, ordre int, allow boolean, pattern string")
+
+
 def newest(rows: DataFrame, key: list[str], version: str) -> DataFrame:
     """The newest row of each key (ties by all other columns)."""
     others = [c for c in rows.columns if c not in key]

@@ -63,10 +63,27 @@ def guess(documents: DataFrame, models: DataFrame, length: int = 3, most: int =
     return scored.groupBy("doc_id").agg(F.min(F.struct("distance", "lang")).alias("b")).select("doc_id", F.col("b.lang").alias("lang"))
 
 
+def deletions(word, most: int = 2):
+    """A word and all it becomes by taking away up to so many letters, as an array column."""
+    def shorter(w):
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        return F.when(F.length(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    level = all_ = F.array(word)
+    for _ in range(most):
+        level = F.flatten(F.transform(level, shorter))
+        all_ = F.concat(all_, level)
+    return F.array_distinct(all_)
+
+
 def suggest(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
-    """(word, suggestion, distance): the nearest dictionary word (word, n) of the same first letter and a near length; more frequent ones first."""
-    d = dictionary.select(F.col("word").alias("suggestion"), "n", F.substring("word", 1, 1).alias("c"))
-    near = words.select("word", F.substring("word", 1, 1).alias("c")).join(d, "c").filter(F.abs(F.length("word") - F.length("suggestion")) <= most)
+    """(word, suggestion, distance): the nearest other dictionary word (word, n) within the distance; more frequent ones first.
+
+    Two words within the distance share a form with as many letters taken away, so they meet by an equal join on these forms.
+    """
+    d = dictionary.select(F.col("word").alias("suggestion"), "n", F.explode(deletions(F.col("word"), most)).alias("form"))
+    w = words.select("word").distinct().select("word", F.explode(deletions(F.col("word"), most)).alias("form"))
+    near = w.join(d, "form").select("word", "suggestion", "n").distinct()
     near = near.withColumn("distance", F.levenshtein("word", "suggestion")).filter((F.col("distance") <= most) & (F.col("distance") > 0))
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("n")).alias("m"), "suggestion")).alias("b"))
     return best.select("word", F.col("b.suggestion").alias("suggestion"), F.col("b.distance").alias("distance"))

@@ -109,15 +109,28 @@ def synonyms_of(word: str, pairs: list[tuple[str, str]]) -> list[str]:
     return [x for x in dict.fromkeys([*first, *second]) if x != word]
 
 
-def expansions(words: list[str], morphology: Morphology | None = None, synonyms: list[tuple[str, str]] = (), acronyms: list[tuple[str, str]] = (), accents: bool = False, german: bool = False) -> dict[str, list[tuple[str, str]]]:
-    """What query.expand takes: the forms of each word with their origin."""
+def query_affixes(word: str, rules: list[tuple[str, str]]) -> list[str]:
+    """Forms of a query word under rules (pattern, to) for words that no dictionary holds: each rule that matches gives one."""
+    return [new for pattern, to in rules if (new := re.sub(pattern, to, word)) != word and len(new) <= MAX_WORD]
+
+
+def expansions(
+    words: list[str], morphology: Morphology | None = None, synonyms: list[tuple[str, str]] = (), acronyms: list[tuple[str, str]] = (), accents: bool = False, german: bool = False,
+    affixes: list[tuple[str, str]] = (), aliases: list[tuple[str, str]] = (),
+) -> dict[str, list[tuple[str, str]]]:
+    """What query.expand takes: the forms of each word with their origin. affixes: rules of query_affixes; aliases: rules of query.cascade."""
     import unicodedata
 
+    from corpusloom.plans.query import cascade
+
     out: dict[str, list[tuple[str, str]]] = {}
     for w in words:
         rows = [(f, "spell") for f in (morphology.forms(w) if morphology else [])]
         rows += [(s, "synonym") for s in synonyms_of(w, list(synonyms))]
         rows += [(b, "acronym") for a, b in acronyms if a == w]
+        if affixes and not (morphology and morphology.normal_forms(w)):
+            rows += [(f, "spell") for f in query_affixes(w, list(affixes))]
+        rows += [(x, "acronym") for x in cascade(w, list(aliases))] if aliases else []
         if accents:
             rows.append(("".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)), "accent"))
         if german:

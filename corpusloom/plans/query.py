@@ -61,6 +61,8 @@ class Parser:
     stopwords: frozenset[str] = frozenset()
     min_word: int = 1
     max_word: int = 32
+    #: Whether words joined by punctuation are also looked up whole (sections that keep them whole are indexed so).
+    loose: bool = False
 
     def parse(self, text: str) -> Node | None:
         """The tree, or null for a query without words."""
@@ -149,7 +151,10 @@ class Parser:
         parts = re.findall(r"[^\W_]+", t)
         if not parts:
             return None
-        return self._phrase(parts) if len(parts) > 1 else self._word(parts[0])  # joined by - _ . , / or \
+        if len(parts) == 1:
+            return self._word(parts[0])
+        phrase = self._phrase(parts)  # joined by - _ . , / or \
+        return Op("or", (self._new(t.strip(".,;:!?")), phrase)) if self.loose else phrase
 
     def _phrase(self, parts: list[str]) -> Node | None:
         words = [self._new(p) for p in parts]

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.operators.postings import postings, section_items
+from corpusloom.operators.postings import postings, read_postings, section_items, write_postings
+from corpusloom.session import stored
 from corpusloom.sources.tables import table
 
 INDEXED = ["body", "title", "meta.keywords", "meta.description"]
@@ -26,7 +27,9 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
-    return postings(items(spark, d))
+    """The stored postings of the tables in d, sorted by word. The first query on a version of the tables builds them."""
+    path = stored(spark, "index", [table(spark, d, "urlinfo"), table(spark, d, "sections")], lambda p: write_postings(postings(items(spark, d)), p))
+    return read_postings(spark, path)
 
 
 class Registry:

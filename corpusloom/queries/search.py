@@ -6,11 +6,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import maintenance, postings, scoring, summary
+from corpusloom.plans import forms
 from corpusloom.plans import query as ql
-from corpusloom.queries.common import INDEXED, PLAIN, POST, Registry, index, items
+from corpusloom.queries.common import INDEXED, ITEMS, PLAIN, POST, Registry, index, items
+from corpusloom.session import stored
 from corpusloom.sources.tables import table
 
 R = Registry()
+#: A small dictionary and its affixes.
+WORDS_FILE = "bridge/S\ngarden/SR\nriver/S\n"
+AFFIX_FILE = "suffixes\nflag *S:\n  [^Y] > S\nflag *R:\n  [^E] > ER\n"
+#: A word without marks, in SQL: strip_accents knows Latin letters only, so the Cyrillic ones with marks are written out.
+_PLAIN_WORD = "translate(strip_accents(word), 'ёйѝѐїўѓќѷ', 'еиииіугкѵ')"
 SECTIONS = {"body": 1, "title": 2, "meta.keywords": 3, "meta.description": 4}
 
 # --- text -----------------------------------------------------------------------------------------
@@ -21,22 +28,22 @@ R.add("t01_loose_words", lambda s, d: postings.postings(items(s, d), token=tx.lo
       f"WITH {POST.split(',' + chr(10) + 'tok')[0]} SELECT word, count(*) AS hits FROM (SELECT unnest(regexp_extract_all(lower(text), '[^\\s]*[\\p{{L}}\\p{{N}}][^\\s]*')) AS word FROM items) WHERE length(word) BETWEEN 1 AND 32 GROUP BY 1")
 R.add("t04_normal_form", lambda s, d: table(s, d, "records").select("url_id", tx.normalize_nfc(F.col("title")).alias("title")).distinct(),
       "SELECT DISTINCT url_id, nfc_normalize(title) AS title FROM records")
-R.add("t05_strip_accents", lambda s, d: index(s, d).filter(F.col("word").rlike("^[a-zà-ÿąćęłńśźż]+$")).select(tx.strip_accents(F.col("word")).alias("plain")).groupBy("plain").agg(F.count("*").alias("hits")),
-      f"WITH {POST} SELECT strip_accents(word) AS plain, count(*) AS hits FROM post WHERE regexp_full_match(word, '[a-zà-ÿąćęłńśźż]+') GROUP BY 1")
+R.add("t05_strip_accents", lambda s, d: index(s, d).select(tx.strip_accents(F.col("word")).alias("plain")).groupBy("plain").agg(F.count("*").alias("hits")),
+      f"WITH {POST} SELECT {_PLAIN_WORD} AS plain, count(*) AS hits FROM post GROUP BY 1")
 R.add("t06_german_spelling", lambda s, d: postings.german_variants(index(s, d)).groupBy("word").agg(F.count("*").alias("hits")),
       f"WITH {POST} SELECT replace(replace(replace(replace(word, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS word, count(*) AS hits FROM post WHERE word SIMILAR TO '.*[äöüß].*' GROUP BY 1")
 R.add("t07_length_bounds", lambda s, d: index(s, d).filter(F.length("word").between(4, 12)).groupBy("doc_id").agg(F.count("*").alias("hits")),
       f"WITH {POST} SELECT doc_id, count(*) AS hits FROM post WHERE length(word) BETWEEN 4 AND 12 GROUP BY 1")
-R.add("t08_positions", lambda s, d: index(s, d).filter(F.col("word").isin("bridge", "river", "archive")),
-      f"WITH {POST} SELECT * FROM post WHERE word IN ('bridge', 'river', 'archive')")
-R.add("t09_accent_variants", lambda s, d: postings.accent_variants(index(s, d).filter(F.col("word").rlike("^[a-zà-ÿąćęłńśźż]+$"))),
-      f"WITH {POST} SELECT doc_id, section, pos, strip_accents(word) AS word FROM post WHERE regexp_full_match(word, '[a-zà-ÿąćęłńśźż]+') AND strip_accents(word) <> word")
+R.add("t08_positions", lambda s, d: index(s, d).select("doc_id", "section", "pos", "word"),
+      f"WITH {POST} SELECT * FROM post")
+R.add("t09_accent_variants", lambda s, d: postings.accent_variants(index(s, d)).select("doc_id", "section", "pos", "word"),
+      f"WITH {POST} SELECT doc_id, section, pos, {_PLAIN_WORD} AS word FROM post WHERE {_PLAIN_WORD} <> word AND {_PLAIN_WORD} <> ''")
 R.add("t09_prefixes", lambda s, d: postings.affix_variants(index(s, d)).groupBy("word").agg(F.count("*").alias("hits")),
       f"WITH {POST} SELECT w AS word, count(*) AS hits FROM (SELECT unnest([word[1:k] FOR k IN range(3, length(word))]) AS w FROM post WHERE length(word) > 3) GROUP BY 1")
 R.add("t09_suffixes", lambda s, d: postings.affix_variants(index(s, d), suffixes=True).groupBy("word").agg(F.count("*").alias("hits")),
       f"WITH {POST} SELECT w AS word, count(*) AS hits FROM (SELECT unnest([right(word, k) FOR k IN range(3, length(word))]) AS w FROM post WHERE length(word) > 3) GROUP BY 1")
-R.add("t13_equal_contents", lambda s, d: items(s, d).filter("section = 1").groupBy(F.xxhash64("text").alias("h"), F.md5(F.col("text").cast("binary")).alias("m")).agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("documents")).filter("documents > 1").select("first", "documents"),
-      f"WITH {POST} SELECT min(doc_id) AS first, count(DISTINCT doc_id) AS documents FROM items WHERE section = 1 GROUP BY text HAVING count(DISTINCT doc_id) > 1")
+R.add("t13_equal_contents", lambda s, d: postings.content_hashes(items(s, d)).groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("documents")).filter("documents > 1").select("first", "documents"),
+      f"WITH {POST}, c AS (SELECT doc_id, list((section, text) ORDER BY section, text) AS content FROM items GROUP BY 1) SELECT min(doc_id) AS first, count(*) AS documents FROM c GROUP BY content HAVING count(*) > 1")
 R.add("t14_without_stopwords", lambda s, d: postings.without_stopwords(index(s, d), table(s, d, "stopwords")).groupBy("word").agg(F.count("*").alias("hits")),
       f"WITH {POST} SELECT word, count(*) AS hits FROM post WHERE word NOT IN (SELECT lower(word) FROM stopwords) GROUP BY 1")
 R.add("t16_entities", lambda s, d: table(s, d, "documents").filter("text is not null").select("doc_id", F.length(tx.unescape_entities(F.col("text"))).alias("chars")))
@@ -80,15 +87,27 @@ R.add("t21_anchor_words", lambda s, d: _anchors(s, d).groupBy("doc_id", "word").
 def _suggest(s, d):
     counts = index(s, d).groupBy("word").agg(F.count("*").alias("n"))
     wrong = s.createDataFrame([("brigde",), ("archve",), ("rivr",), ("musem",)], "word string")
-    return summary.suggest(wrong, counts.filter("n >= 20"))
+    return summary.suggest(wrong, counts)
 
 
 R.add("t22_suggestions", _suggest,
-      f"""WITH {POST}, v AS (SELECT word, count(*) AS n FROM post GROUP BY 1 HAVING count(*) >= 20), q AS (SELECT unnest(['brigde', 'archve', 'rivr', 'musem']) AS word)
+      f"""WITH {POST}, v AS (SELECT word, count(*) AS n FROM post GROUP BY 1), q AS (SELECT unnest(['brigde', 'archve', 'rivr', 'musem']) AS word)
       SELECT word, suggestion, CAST(distance AS INT) AS distance FROM (SELECT q.word, v.word AS suggestion, levenshtein(q.word, v.word) AS distance, row_number() OVER (PARTITION BY q.word ORDER BY levenshtein(q.word, v.word), v.n DESC, v.word) AS k
-      FROM q JOIN v ON q.word[1] = v.word[1] AND abs(length(q.word) - length(v.word)) <= 2 AND levenshtein(q.word, v.word) BETWEEN 1 AND 2) WHERE k = 1""")
-R.add("snk01_packed", lambda s, d: postings.packed(index(s, d)).filter(F.col("word").startswith("ri")),
-      f"WITH {POST} SELECT doc_id, word, CAST((pos << 16) + (section << 8) + length(word) AS INT) AS intag FROM post WHERE word LIKE 'ri%'")
+      FROM q JOIN v ON levenshtein(q.word, v.word) BETWEEN 1 AND 2) WHERE k = 1""")
+R.add("snk01_packed", lambda s, d: postings.packed(index(s, d)),
+      f"WITH {POST} SELECT doc_id, word, CAST((pos << 16) + (section << 8) + length(word) AS INT) AS intag FROM post")
+
+
+def _by_length(s, d):
+    """Written into a folder for each length of words, and read again."""
+    path = stored(s, "index-by-length", [table(s, d, "urlinfo"), table(s, d, "sections")], lambda p: postings.write_postings(index(s, d), p, by="length"))
+    return s.read.parquet(path)
+
+
+R.add("snk02_read_by_length", lambda s, d: _by_length(s, d).filter(F.col("bucket") == 6).groupBy("word").agg(F.count("*").alias("hits")),
+      f"WITH {POST} SELECT word, count(*) AS hits FROM post WHERE length(word) = 6 GROUP BY 1")
+R.add("snk05_lookup", lambda s, d: index(s, d).filter(F.col("word").isin("bridge", "river")).groupBy("word").agg(F.count("*").alias("hits"), F.min("doc_id").alias("first"), F.max("pos").alias("last_pos")),
+      f"WITH {POST} SELECT word, count(*) AS hits, min(doc_id) AS first, max(pos) AS last_pos FROM post WHERE word IN ('bridge', 'river') GROUP BY 1")
 R.add("snk02_length_buckets", lambda s, d: index(s, d).groupBy(postings.length_bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("hits")),
       f"WITH {POST} SELECT CAST(CASE WHEN length(word) <= 2 THEN 2 WHEN length(word) <= 12 THEN length(word) WHEN length(word) <= 16 THEN 16 ELSE 32 END AS INT) AS bucket, count(*) AS hits FROM post GROUP BY 1")
 R.add("p17_longest_items", lambda s, d: items(s, d).withColumn("n", F.row_number().over(ql_window())).filter("n <= 2").select("doc_id", "section", F.length("text").alias("chars")),
@@ -102,24 +121,26 @@ def ql_window():
 
 
 def _truncated(s, d):
-    sec = table(s, d, "sections").select(F.col("secno").alias("section"), "maxlen")
-    joined = items(s, d).groupBy("doc_id", "section").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("t"))
-    return joined.join(F.broadcast(sec), "section").select("doc_id", "section", F.when(F.col("maxlen") > 0, F.substring(F.col("t"), F.lit(1), F.col("maxlen"))).otherwise(F.col("t")).alias("value")).filter("section <> 1")
+    sec = table(s, d, "sections").select(F.col("secno").alias("section"), "maxlen", "single")
+    joined = postings.joined_items(items(s, d), sec)
+    return joined.join(F.broadcast(sec), "section").select("doc_id", "section", F.when(F.col("maxlen") > 0, F.substring(F.col("t"), F.lit(1), F.col("maxlen"))).otherwise(F.col("t")).alias("value"))
 
 
 R.add("p19_truncated_sections", _truncated,
-      f"WITH {POST}, j AS (SELECT doc_id, section, string_agg(text, ' ' ORDER BY text) AS t FROM items GROUP BY 1, 2) SELECT doc_id, section, CASE WHEN maxlen > 0 THEN t[1:maxlen] ELSE t END AS value FROM j JOIN sections s ON s.secno = j.section WHERE section <> 1")
+      f"WITH {POST}, j AS (SELECT doc_id, section, CASE WHEN any_value(single) = 1 THEN min(text) ELSE string_agg(text, ' ' ORDER BY text) END AS t FROM items JOIN sections ON secno = section GROUP BY 1, 2) SELECT doc_id, section, CASE WHEN maxlen > 0 THEN t[1:maxlen] ELSE t END AS value FROM j JOIN sections s ON s.secno = j.section")
 
 # --- query language --------------------------------------------------------------------------------
 
 
-def _ask(text: str, mode: str = "all", match: str = "full", documents: bool = False, forms=None, stop: bool = False):
+def _ask(text: str, mode: str = "all", match: str = "full", documents: bool = False, stop: bool = False, loose: bool = False, **dictionaries):
+    """A query over the index (loose: of words with their punctuation); dictionaries as forms.expansions takes them."""
     def run(s, d):
-        stopwords = frozenset(r.word.lower() for r in table(s, d, "stopwords").select("word").limit(10_000).collect()) if stop else frozenset()
-        tree = ql.Parser(mode, match, SECTIONS, stopwords).parse(text)
-        if forms:
-            tree = ql.expand(tree, forms)
-        return ql.evaluate(tree, index(s, d), items(s, d) if documents else None)
+        stopwords = postings.stopwords_among(table(s, d, "stopwords"), tx.words_in(text)) if stop else frozenset()
+        tree = ql.Parser(mode, match, SECTIONS, stopwords, loose=loose).parse(text)
+        if dictionaries:
+            tree = ql.expand(tree, forms.expansions([w.text for w in ql.leaves(tree)], **dictionaries))
+        post = postings.with_parts(postings.postings(items(s, d), token=tx.loose_words)) if loose else index(s, d)
+        return ql.evaluate(tree, post, items(s, d) if documents else None)
 
     return run
 
@@ -153,15 +174,26 @@ _SQL = {
     "q12_begin": (_ask("brid", match="beg"), f"SELECT DISTINCT doc_id FROM post WHERE word LIKE 'brid%'"),
     "q12_end": (_ask("idge", match="end"), f"SELECT DISTINCT doc_id FROM post WHERE word LIKE '%idge'"),
     "q12_part": (_ask("ridg", match="sub"), f"SELECT DISTINCT doc_id FROM post WHERE word LIKE '%ridg%'"),
-    "q13_forms": (_ask("bridge garden", forms={"bridge": [("bridges", "spell")], "garden": [("gardens", "spell"), ("gardener", "spell")]}), f"({_has('bridge')} UNION {_has('bridges')}) INTERSECT ({_has('garden')} UNION {_has('gardens')} UNION {_has('gardener')})"),
-    "q15_synonyms": (_ask("river", forms={"river": [("harbour", "synonym"), ("island", "synonym")]}), f"{_has('river')} UNION {_has('harbour')} UNION {_has('island')}"),
-    "q16_acronyms": (_ask("tb", forms={"tb": [("the bridge", "acronym")]}), f"{_has('tb')} UNION {_pair('the', 'bridge', NEXT)}"),
-    "q18_accents": (_ask("café", forms={"café": [("cafe", "accent")]}), f"{_has('café')} UNION {_has('cafe')}"),
-    "q20_word_or_parts": (_ask("test (garden or garden-bridge)", "any"), f"{_has('test')} UNION {_has('garden')} UNION {_pair('garden', 'bridge', NEXT)}"),
+    "q13_forms": (_ask("bridges garden", morphology=forms.Morphology(forms.parse_dictionary(WORDS_FILE), forms.parse_affixes(AFFIX_FILE))), f"({_has('bridge')} UNION {_has('bridges')}) INTERSECT ({_has('garden')} UNION {_has('gardens')} UNION {_has('gardener')})"),
+    "q14_query_affixes": (_ask("archived", affixes=[("d$", ""), ("d$", "s")]), f"{_has('archived')} UNION {_has('archive')} UNION {_has('archives')}"),
+    "q15_synonyms": (_ask("river", synonyms=forms.parse_pairs("Language: en\nriver harbour\nharbour island\n")), f"{_has('river')} UNION {_has('harbour')} UNION {_has('island')}"),
+    "q16_acronyms": (_ask("tb", acronyms=forms.parse_pairs("# acronyms\ntb\tthe bridge\n")), f"{_has('tb')} UNION {_pair('the', 'bridge', NEXT)}"),
+    "q17_aliases": (_ask("harbor", aliases=[("or$", "our"), ("^harbour$", "island")]), f"{_has('harbor')} UNION {_has('harbour')} UNION {_has('island')}"),
+    "q18_accents": (_ask("über", accents=True), f"{_has('über')} UNION {_has('uber')}"),
+    "q18_german": (_ask("brücke", german=True), f"{_has('brücke')} UNION {_has('bruecke')}"),
+    "q19_all_expansions": (_ask("bridges river tb", "any", morphology=forms.Morphology(forms.parse_dictionary(WORDS_FILE), forms.parse_affixes(AFFIX_FILE)), synonyms=[("river", "harbour")], acronyms=[("tb", "the bridge")], accents=True),
+                           f"{_has('bridge')} UNION {_has('bridges')} UNION {_has('river')} UNION {_has('harbour')} UNION {_has('tb')} UNION {_pair('the', 'bridge', NEXT)}"),
 }
 for _name, (_query, _sql) in _SQL.items():
     R.add(_name, _query, f"WITH {POST} SELECT DISTINCT doc_id FROM ({_sql})")
 
+_LOOSE = rf"""WITH {ITEMS}, tok AS (SELECT *, regexp_extract_all(lower(text), '[^\s]*[\p{{L}}\p{{N}}][^\s]*') AS w FROM items),
+based AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY section, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tok),
+loose AS (SELECT doc_id, section, CAST(base + i AS INT) AS pos, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM based) WHERE length(w[i]) BETWEEN 1 AND 32),
+post AS (SELECT * FROM loose UNION ALL SELECT doc_id, section, pos, part AS word FROM (SELECT *, unnest(regexp_extract_all(word, '[\p{{L}}\p{{N}}]+')) AS part FROM loose) WHERE part <> word)"""
+R.add("t09_word_parts", lambda s, d: postings.with_parts(postings.postings(items(s, d), token=tx.loose_words)).groupBy("word").agg(F.count("*").alias("hits")), f"{_LOOSE} SELECT word, count(*) AS hits FROM post GROUP BY 1")
+R.add("q20_word_or_parts", _ask("well-known the.river", "any", loose=True),
+      f"{_LOOSE} SELECT DISTINCT doc_id FROM ({_has('well-known')} UNION {_has('the.river')} UNION {_pair('well', 'known', NEXT)} UNION {_pair('the', 'river', NEXT)})")
 R.add("a10_term_counts", lambda s, d: maintenance.term_counts(index(s, d), ["bridge", "river", "archive"]),
       f"WITH {POST} SELECT word, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM post WHERE word IN ('bridge', 'river', 'archive') GROUP BY 1")
 R.add("j03_with_anchor_hits", lambda s, d: index(s, d).filter("word = 'bridge'").select("doc_id", "word").unionByName(_anchors(s, d).filter("word = 'bridge'").select("doc_id", "word")).groupBy("doc_id").agg(F.count("*").alias("hits")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import io
 import os
 import tempfile
@@ -30,19 +32,64 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+_cleaned: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/corpusloom/{sc.applicationId}"
+    if sc.applicationId not in _cleaned:
+        _cleaned.add(sc.applicationId)
+        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+        atexit.register(_delete, jvm, conf, path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; then the folder stays
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Delete every table written by materialize in this session's shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corpusloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table written by materialize in this session."""
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), run_dir(spark))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def version_of(*tables: DataFrame) -> str:
+    """A name for the present contents of the files the tables are read from: paths, sizes and times of change."""
+    spark = tables[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = hashlib.md5()
+    for f in sorted({f for t in tables for f in t.inputFiles()}):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        out.update(f"{f} {s.getLen()} {s.getModificationTime()}\n".encode())
+    return out.hexdigest()
+
+
+def stored(spark: SparkSession, name: str, inputs: list[DataFrame], write) -> str:
+    """The path of a table derived from inputs, in the shared folder: written by write(path) once for each version of the inputs, then found again, in other sessions too."""
+    path = f"{shared_dir(spark).rstrip('/')}/corpusloom/{name}-{version_of(*inputs)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        write(path)
+    return path
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

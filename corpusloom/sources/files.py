@@ -26,12 +26,27 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter((F.col("url") != "") & ~F.col("url").startswith("#")).distinct()
 
 
-def read_query(spark: SparkSession, query: str, key: str, text: list[str], prefix: str = "htdb:/") -> DataFrame:
-    """(url, text) of the rows of a SQL query: rows as documents."""
+def read_query(spark: SparkSession, query: str, key: str, text: list[str], prefix: str = "htdb:/", parameters: list[str] = ()) -> DataFrame:
+    """(url, text) of the rows of a SQL query: rows as documents. $1 to $9 in the query stand for the parameters (parts of a path), quotation marks in them doubled."""
+    for i in range(9, 0, -1):
+        value = parameters[i - 1].replace("'", "''") if i <= len(parameters) else ""
+        query = query.replace(f"${i}", value)
     rows = spark.sql(query)
     return rows.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("url"), F.concat_ws(" ", *text).alias("text"))
 
 
+def store_copies(documents: DataFrame, path: str) -> None:
+    """Write compressed copies (doc_id, text), sorted by doc_id so that one is found by row-group statistics."""
+    rows = documents.filter("text is not null").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_copies(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
+    """Stored copies, all or of some ids."""
+    rows = spark.read.parquet(path)
+    return rows if ids is None else rows.filter(F.col("doc_id").isin(ids))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
     """A table of a database, read in ranges of a numeric column."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
