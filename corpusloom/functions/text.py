@@ -110,3 +110,17 @@ def words_in(text: str) -> list[str]:
     import re
 
     return re.findall(r"[^\W_]+", text.lower())
+
+
+def between(text: Column, begin: str, end: str) -> Column:
+    """What stands between the first `begin` and the next `end`, the whole text where either is missing."""
+    at = F.instr(text, begin)
+    rest = F.substring(text, at + len(begin), F.length(text))
+    stop = F.instr(rest, end)
+    return F.when((at > 0) & (stop > 0), F.substring(rest, F.lit(1), stop - 1)).otherwise(text)
+
+
+def desegmented(text: Column) -> Column:
+    """Text without blanks between two signs of scripts that write no blanks (Chinese, Japanese, Thai), so that it can be segmented anew."""
+    signs = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+    return F.regexp_replace(text, rf"(?<=[{signs}])[ \u3000]+(?=[{signs}])", "")

@@ -68,7 +68,9 @@ def reader_of(address: str) -> Callable[..., DataFrame]:
 
 
 def decode_content(data: bytes | None, encodings: str | None) -> bytes | None:
-    """Content without its transfer and content encodings (gzip, deflate, chunked), undone from the last; null if broken."""
+    """Content without its transfer and content encodings (gzip, deflate, chunked), undone from the last; null for null and if broken."""
+    if data is None:
+        return None
     for e in reversed([x.strip().lower() for x in (encodings or "").split(",") if x.strip()]):
         try:
             if e in ("gzip", "x-gzip"):

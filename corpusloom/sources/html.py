@@ -123,3 +123,9 @@ def items_and_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = p.filter("p.index").select("doc_id", F.explode(named).alias("i")).select("doc_id", "i.name", "i.text").filter("text <> ''")
     links = p.filter("p.follow").select("doc_id", F.coalesce("p.base", "url").alias("base"), F.explode("p.links").alias("l")).filter(~F.lower("l.href").rlike("^(mailto|javascript|data):"))
     return items, links.select("doc_id", resolve(F.col("base"), F.col("l.href")).alias("url"), F.col("l.text").alias("text"), F.col("l.tag").alias("tag"))
+
+
+def query_section(pages: DataFrame, rows: DataFrame, key: str, name: str, value: str = "value") -> DataFrame:
+    """Items (doc_id, name, text) whose text comes from the rows of a query, looked up by page."""
+    own = rows.select(F.col(key).alias("doc_id"), F.col(value).cast("string").alias("text")).filter("text is not null")
+    return pages.select("doc_id").join(own, "doc_id").select("doc_id", F.lit(name).alias("name"), "text")
