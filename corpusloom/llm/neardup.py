@@ -2,15 +2,21 @@
 
 1. Each text becomes a set of shingles (64-bit hashes of word or character sequences) and a signature of 256 MinHash
    values. Texts with equal sets form a class, of which only the least id goes on.
-2. A forest of prefix tries: each tree orders the signatures by its own sequence of their values. A level of a tree is
-   its sorted sequence cut into runs with an equal prefix; members of a run are candidates. Prefixes are matched at the
-   greatest depth first and shortened, level by level, until the recall reaches its target. The recall is estimated from
-   the verified pairs (each of similarity s stands for 1 / P(s) pairs, P being the chance that it shares a prefix at the
-   depth in some tree), and has to be at least `floor` for a pair that lies just at the threshold.
-3. Candidates whose signatures differ too much (by more than four standard deviations) are dropped; all others are
+2. Groups of nearly equal texts are found first: members of a common prefix of many are compared with its least id, the
+   leader. Two texts within half the allowed distance of one leader are near duplicates by the triangle inequality, so such
+   a tight class needs no comparisons inside, however large it is.
+3. A forest of prefix tries: each tree orders the signatures by its own sequence of their values. The trees are sorted once,
+   into subtries (all that share the shortest prefix in use) that are written as blocks of sorted keys; a subtrie with one
+   leaf is dropped. Candidates are pairs of leaves of different classes; the level of a pair is the length of its keys' common prefix.
+   Pairs of the deepest levels come first, and the prefix is shortened, level by level on the stored blocks, until the recall
+   reaches its target. The recall is estimated from the verified pairs (each of similarity s stands for 1 / P(s) pairs, P
+   being the chance that it shares a prefix at the depth in some tree), and has to be at least `floor` for a pair that lies
+   just at the threshold. Where even the shortest stored prefix is too long, the trees are sorted anew with a shorter one.
+4. Candidates whose signatures differ too much (by more than four standard deviations) are dropped; all others are
    verified by the similarity of their whole sets.
 
-A run is read as a sorted stream, never gathered; there is no cap on runs, partners or candidates.
+A block holds at most BLOCK leaves. A subtrie of more is several blocks, of which each two (unless both are of one tight class)
+are compared in a task of their own; nothing is gathered, and there is no cap on runs, partners or candidates.
 
 Cases: null texts and texts with fewer words or signs than a shingle have no set and no partner; a row without id is left
 out; of several texts of one id the one with the least set hash counts; repeated rows count once; no rows give no rows.
@@ -32,6 +38,10 @@ from corpusloom.session import materialize
 
 #: MinHash values in a signature, trees, and values in a tree's longest prefix.
 VALUES, TREES, DEPTH = 256, 64, 8
+#: Levels that the stored subtries allow to shorten a prefix by, and leaves in a block of a subtrie.
+LEVELS, BLOCK = 2, 256
+#: Trees in which leaders of tight classes are sought, and members that a prefix must have for one.
+LEADER_TREES, HOT = 8, 32
 #: Characters worked on at once, and words whose hashes are remembered.
 CHUNK, WORDS = 2_000_000, 1_000_000
 
@@ -168,56 +178,142 @@ def _features(shape: Shape, id_type: pa.DataType, whole: bool):
     return run
 
 
-def _prefixes(depth: int, id_type: pa.DataType):
-    """For mapInArrow: (id, sig) to (prefix, id), one row for each tree."""
+def _leaves(low: int, trees: int):
+    """For mapInArrow: (id, label, sig) to (node, key, id, label), one row for each tree; node names the tree and the first `low` values, key is the path in big-endian order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, VALUES).astype(np.uint64)
-            keys = np.empty((TREES, n), np.int64)
-            for t in range(TREES):
-                h = np.full(n, t + 1, np.uint64)
-                for k in _PATHS[t, :depth]:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, k])
-                keys[t] = h.view(np.int64)
-            ids = batch.column(0)
-            for t in range(TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[t]), ids], names=["prefix", "id"])
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, VALUES)
+            wide = sig.astype(np.uint64)
+            for t in range(trees):
+                node = np.full(n, t + 1, np.uint64)
+                for k in _PATHS[t, :low]:
+                    node = mix(node * np.uint64(0x9E3779B97F4A7C15) + wide[:, k])
+                path = np.ascontiguousarray(sig[:, _PATHS[t]].astype(">u2"))
+                key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), n, [None, pa.py_buffer(path.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), key, batch.column(0), batch.column(1)], names=["node", "key", "id", "label"])
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: rows sorted by (prefix, id) to pairs of different ids with an equal prefix."""
-    held_key, held_id = np.zeros(0, np.int64), None
-
-    def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at, step = np.arange(len(key)), 1
-        while True:
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                return
-            a, b = ids[at], ids[at + step]
-            m = a != b
-            for i in range(0, int(m.sum()), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[m][i : i + 100_000]), pa.array(b[m][i : i + 100_000])], names=["a", "b"])
-            step += 1
-
-    for batch in batches:
-        if not batch.num_rows:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: leaves sorted by (node, key) to blocks (node, block, label, keys, ids, labels); nodes with one leaf are dropped. label: the one of all its leaves, or null."""
+    held, carried = None, 0  # the leaves of the last block, which may go on, and its number
+
+    def made(part: pa.RecordBatch, number: np.ndarray) -> pa.RecordBatch:
+        node = np.asarray(part.column(0))
+        start = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (number[1:] != number[:-1])])
+        size = np.diff(np.r_[start, len(node)])
+        kept = (size > 1) | (number[start] > 0)
+        part, number = part.filter(pa.array(np.repeat(kept, size))), np.repeat(number[start][kept], size[kept])
+        start = np.r_[0, np.cumsum(size[kept])].astype(np.int32)
+        first = start[:-1]
+        labels, ids = part.column(3), part.column(2)
+        own = np.asarray(labels)
+        low, high = (f.reduceat(own, first) if len(first) else own[:0] for f in (np.minimum, np.maximum))
+        keys = pa.py_buffer(b"".join(part.column(1).to_pylist()))
+        return pa.RecordBatch.from_arrays([
+            part.column(0).take(pa.array(first)), pa.array(number[first].astype(np.int32)), pa.array(low, labels.type, mask=low != high),
+            pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((start * 2 * DEPTH).astype(np.int32).tobytes()), keys]),
+            pa.ListArray.from_arrays(pa.array(start), ids), pa.ListArray.from_arrays(pa.array(start), labels),
+        ], names=["node", "block", "label", "keys", "ids", "labels"])
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if held_id is not None:
-            key, ids = np.concatenate([held_key, key]), np.concatenate([held_id, ids])
-        cut = int(np.searchsorted(key, key[-1]))
-        yield from pairs(key[:cut], ids[:cut])
-        held_key, held_id = key[cut:], ids[cut:]
-    if held_id is not None:
-        yield from pairs(held_key, held_id)
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        node = np.asarray(b.column(0))
+        begins = np.r_[True, node[1:] != node[:-1]]
+        at = np.arange(len(node))
+        place = at - np.maximum.accumulate(np.where(begins, at, 0))
+        place[: begins[1:].argmax() + 1 if begins[1:].any() else len(node)] += carried * BLOCK  # the first node goes on
+        number = place // BLOCK
+        cut = int(np.flatnonzero(np.r_[True, begins[1:] | (number[1:] != number[:-1])])[-1])
+        if cut:
+            yield made(b.slice(0, cut), number[:cut])
+        held, carried = b.slice(cut), int(number[cut])
+    if held is not None:
+        yield made(held, np.full(held.num_rows, carried))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, ">u2").reshape(-1, DEPTH)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each row of x with the row of y beside it."""
+    return np.minimum.accumulate(x == y, axis=1).sum(1)
+
+
+def _inside(deep: int, shallow: int, id_type: pa.DataType):
+    """For mapInArrow: blocks (keys, ids, labels) to pairs of ids of different labels in one block whose level lies between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = _keys(b"".join(batch.column(0).to_pylist()))
+            ids, labels = (np.asarray(batch.column(k).flatten()) for k in (1, 2))
+            block = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(1).value_lengths()))
+            at, step = np.arange(len(ids)), 1
+            # Sorted keys: if a leaf's prefix differs from that of the one `step` behind, no later one shares it.
+            while len(at := at[at + step < len(ids)]):
+                at = at[block[at] == block[at + step]]
+                level = _common(keys[at], keys[at + step])
+                at, level = at[level >= shallow], level[level >= shallow]
+                i = at[(level <= deep) & (labels[at] != labels[at + step]) & (ids[at] != ids[at + step])]
+                x, y = ids[i], ids[i + step]
+                for k in range(0, len(i), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[k : k + 100_000], id_type), pa.array(np.maximum(x, y)[k : k + 100_000], id_type)], names=["a", "b"])
+                step += 1
+
+    return run
+
+
+def _across(deep: int, shallow: int, id_type: pa.DataType):
+    """For mapInArrow: two blocks (keys, ids, labels, and again for the other) to pairs of an id of each, as _inside has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kx, ix, lx, ky, iy, ly in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y, ix, iy, lx, ly = _keys(kx), _keys(ky), *map(np.array, (ix, iy, lx, ly))
+                i, j = (k.ravel() for k in np.indices((len(ix), len(iy))))
+                m = lx[i] != ly[j]
+                i, j = i[m], j[m]
+                level = _common(x[i], y[j])
+                m = (level >= shallow) & (level <= deep) & (ix[i] != iy[j])
+                a, b = ix[i[m]], iy[j[m]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), id_type), pa.array(np.maximum(a, b), id_type)], names=["a", "b"])
+
+    return run
+
+
+def _leaders(lead: DataFrame, depth: int) -> DataFrame:
+    """(id, leader): for members of prefixes of more than HOT texts the least id of such a prefix."""
+    rows = lead.select("id", F.col("id").alias("label"), "sig").mapInArrow(_leaves(depth, LEADER_TREES), f"node bigint, key binary, id {lead.schema['id'].dataType.simpleString()}, label {lead.schema['id'].dataType.simpleString()}").select("node", "id")
+    rows = materialize(rows, "leading")
+    hot = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter(F.col("n") > HOT).select("node", "leader")
+    return rows.join(hot, "node").groupBy("id").agg(F.min("leader").alias("leader")).filter("id <> leader")
+
+
+def _candidates(blocks: DataFrame, deep: int, shallow: int, arrow: pa.DataType) -> DataFrame:
+    """Pairs (a, b) of leaves of one subtrie whose level lies between: inside each block, and across each two blocks of a large one."""
+    pair = f"a {arrow_name(arrow)}, b {arrow_name(arrow)}"
+    inside = blocks.filter("label is null").select("keys", "ids", "labels").mapInArrow(_inside(deep, shallow, arrow), pair)
+    many = blocks.filter("block > 0").select("node").distinct()
+    large = blocks.join(many, "node", "left_semi")
+    about = large.select("node", "block", "label")
+    two = about.join(about.select("node", F.col("block").alias("other"), F.col("label").alias("l")), "node").filter("block < other and (label is null or l is null or label <> l)").select("node", "block", "other")
+    across = two.join(large.select("node", "block", "keys", "ids", "labels"), ["node", "block"]).join(large.select("node", F.col("block").alias("other"), F.col("keys").alias("ky"), F.col("ids").alias("iy"), F.col("labels").alias("ly")), ["node", "other"])
+    return inside.unionByName(across.select("keys", "ids", "labels", "ky", "iy", "ly").mapInArrow(_across(deep, shallow, arrow), pair)).distinct()
+
+
+def arrow_name(arrow: pa.DataType) -> str:
+    return "bigint" if arrow == pa.int64() else "int"
 
 
 def chance(s, depth: int):
@@ -236,12 +332,13 @@ def _alike(a: str, b: str):
 
 @dataclass
 class Forest:
-    """The near-duplicates of a table of texts. classes: (id, rep); links: (a, b, similarity) between representatives, a < b."""
+    """The near-duplicates of a table of texts. classes: (id, rep); tight: (rep, label) of the tight classes of more than one; links: (a, b, similarity) between representatives of different labels, a < b."""
 
     classes: DataFrame
     links: DataFrame
     depth: int
     recall: float
+    tight: DataFrame | None = None
 
 
 def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor: float = 0.95) -> Forest:
@@ -258,13 +355,28 @@ def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor:
     reps = one.groupBy("set_hash", "n").agg(F.min("id").alias("rep"))
     classes = materialize(one.join(reps, ["set_hash", "n"]).select("id", "rep", "set_hash"), "classes")
     chosen = classes.filter("id = rep").select("id", "set_hash")
-    lead = features.join(chosen, ["id", "set_hash"], "left_semi")
+    lead = features.join(chosen, ["id", "set_hash"], "left_semi").dropDuplicates(["id"])
     sketches = lead.select("id", "sketch")
     least = shape.threshold - 4 * 2 * (0.25 * (1 - shape.threshold**2) / VALUES) ** 0.5
-    known, depth = None, max(d for d in range(1, DEPTH + 1) if d == 1 or chance(shape.threshold, d) >= floor)
+    depth = max(d for d in range(1, DEPTH + 1) if d == 1 or chance(shape.threshold, d) >= floor)
+    leaders = materialize(_leaders(lead, depth).select(F.col("leader").alias("a"), F.col("id").alias("b")), "leaders")
+    tight, known = None, None
+    leaves = lead.select("id", F.col("id").alias("label"), "sig")
+    if not leaders.isEmpty():
+        near = materialize(_verify(leaders, rows, chosen, shape, arrow, own), "near")
+        tight = materialize(near.filter(F.col("similarity") >= (1 + shape.threshold) / 2).select(F.col("b").alias("rep"), F.col("a").alias("label")), "tight")
+        heads = tight.select(F.col("label").alias("rep"), "label").distinct().join(tight.select("rep"), "rep", "left_anti")
+        tight = materialize(tight.unionByName(heads), "labels")
+        # What the comparison with leaders outside of one's class has shown is kept.
+        known = materialize(_labelled(near, tight).filter("la <> lb").select("a", "b", "similarity"), "links")
+        leaves = lead.select("id", "sig").join(tight.withColumnRenamed("rep", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "sig")
+    low, deep, blocks = 0, DEPTH, None
     while True:
-        runs = lead.select("id", "sig").mapInArrow(_prefixes(depth, arrow), f"prefix bigint, id {own}").repartition("prefix").sortWithinPartitions("prefix", "id")
-        pairs = runs.mapInArrow(_runs, f"a {own}, b {own}").distinct()
+        if blocks is None or depth < low:
+            low = max(1, depth - LEVELS)
+            sorted_ = leaves.mapInArrow(_leaves(low, TREES), f"node bigint, key binary, id {own}, label {own}").repartition("node").sortWithinPartitions("node", "key")
+            blocks = materialize(sorted_.mapInArrow(_blocks, f"node bigint, block int, label {own}, keys binary, ids array<{own}>, labels array<{own}>"), "subtries")
+        pairs = _candidates(blocks, deep, depth, arrow)
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("kb")), "b")
@@ -275,8 +387,15 @@ def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor:
         n, stands_for = known.agg(F.count("*"), F.sum(1 / p)).first()
         recall = n / stands_for if n else 1.0
         if recall >= target or depth == 1:
-            return Forest(classes.select("id", "rep"), known, depth, recall)
-        depth -= 1
+            return Forest(classes.select("id", "rep"), known, depth, recall, tight)
+        deep = depth = depth - 1
+
+
+def _labelled(pairs: DataFrame, tight: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the labels la and lb, an id without one being its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(tight.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    return pairs
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, chosen: DataFrame, shape: Shape, arrow: pa.DataType, own: str) -> DataFrame:
@@ -298,33 +417,40 @@ def all_pairs(forest: Forest) -> DataFrame:
     x = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
     y = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     across = forest.links.select("a", "b").join(x, "a").join(y, "b").select("x", "y")
-    many = members.groupBy("rep").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("rep").alias("a"))
-    shared = members.join(many.withColumnRenamed("a", "rep"), "rep", "left_semi")
-    within = shared.select(F.col("rep").alias("a"), F.col("id").alias("x")).join(shared.select(F.col("rep").alias("a"), F.col("id").alias("y")), "a").filter("x < y").select("x", "y")
+    labelled = members.select("id", F.col("rep").alias("label")) if forest.tight is None else members.join(forest.tight, "rep", "left").select("id", F.coalesce("label", "rep").alias("label"))
+    many = labelled.groupBy("label").agg(F.count("*").alias("m")).filter("m > 1").select("label")
+    shared = labelled.join(many, "label", "left_semi")
+    within = shared.select("label", F.col("id").alias("x")).join(shared.select("label", F.col("id").alias("y")), "label").filter("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def star_links(forest: Forest) -> DataFrame:
+    """(a, b): the links, and for each member of a tight class the one to its leader: enough to reach all that the class links."""
+    links = forest.links.select("a", "b")
+    return links if forest.tight is None else links.unionByName(forest.tight.select(F.col("label").alias("a"), F.col("rep").alias("b"))).filter("a <> b").distinct()
+
+
 def union(first: Forest, second: Forest) -> Forest:
     """One forest of the ids of both, linked where either links them. Its classes are those of first; an id it lacks is its own.
 
-    The classes of second become links from each member's class to the class of its representative.
+    The classes of second become links from each member's class to the class of its representative, tight classes links to the leader.
     """
     ids = first.classes.select("id", "rep").join(second.classes.select("id", F.col("rep").alias("other")), "id", "full")
     nodes = materialize(ids.select("id", F.coalesce("rep", "id").alias("rep"), "other"), "nodes")
     of = lambda c: nodes.select(F.col("id").alias(c), F.col("rep").alias(f"{c}_node"))
     members = nodes.filter("other is not null").select(F.col("rep").alias("a"), "other").join(of("other"), "other").select("a", F.col("other_node").alias("b"))
-    across = second.links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    links = first.links.select("a", "b").unionByName(members).unionByName(across).filter("a <> b")
+    across = star_links(second).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    links = star_links(first).unionByName(members).unionByName(across).filter("a <> b")
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return Forest(nodes.select("id", "rep"), links, min(first.depth, second.depth), min(first.recall, second.recall))
 
 
 def groups(forest: Forest) -> DataFrame:
-    """(id, group, links): each id with the least id that a chain of near-duplicates leads to, and its number of links.
+    """(id, group, rep, links): each id with the least id that a chain of near-duplicates leads to, and the number of links of its representative in star form (inside a tight class only the one to the leader).
 
     Labels spread by rounds in which each label also jumps to its own label, so chains halve; each round is a written table.
     """
-    edges = forest.links.select("a", "b")
+    edges = star_links(forest)
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(forest.classes.filter("id = rep").select("id", F.col("id").alias("group")), "labels")
     while True:

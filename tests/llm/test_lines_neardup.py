@@ -134,3 +134,29 @@ def test_one_group_holds_a_third(spark):
     texts = [(i, "the same words in every copy of it" if i % 3 == 0 else f"{i} other {i * 7} words {i * 13} here {i * 17}") for i in range(600)]
     forest = near_duplicates(spark.createDataFrame(texts, "id int, text string"), WORDS3)
     assert forest.links.count() == 0 and all_pairs(forest).count() == 200 * 199 // 2
+
+
+def test_nearly_equal_third(spark):
+    """A third of the texts are one notice with a changed word each: no two of them are compared but with the leader, and all pairs are there."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for i in range(1800):
+        if i % 3 == 0:
+            own = list(base)
+            own[rng.randrange(120)] = f"x{i}"
+            texts.append((i, " ".join(own)))
+        else:
+            texts.append((i, " ".join(f"w{rng.randrange(5000)}" for _ in range(60))))
+    far = list(base)
+    for k in range(5, 120, 8):
+        far[k] = "changed"
+    texts.append((5000, " ".join(far)))  # near some of them only by chance, not inside the tight class
+    forest = near_duplicates(spark.createDataFrame(texts, "id int, text string"), WORDS3)
+    got = {tuple(r) for r in all_pairs(forest).collect()}
+    hot = [i for i in range(0, 1800, 3)]
+    want = {(a, b) for a in hot for b in hot if a < b}
+    assert {p for p in got if p[1] < 5000} == want
+    assert {p for p in got if p[1] == 5000} == {(a, 5000) for a, t in texts if a != 5000 and brute([(a, t), texts[-1]], WORDS3)}
+    assert forest.tight.count() >= 590 and forest.links.count() < 2000
+    assert {r.group for r in groups(forest).collect() if r.id in set(hot)} == {0}
