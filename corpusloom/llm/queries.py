@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import plain_name
 from corpusloom.llm import encoding, language, lines, neardup, packing, quality, tokens
 from corpusloom.operators.eav import section_registry
+from corpusloom.session import materialize, run_dir
 from corpusloom.sources.tables import table
 
 
@@ -36,28 +39,29 @@ def sites(spark, d):
     return table(spark, d, "records").select(F.col("url_id").alias("page"), lines.site_of(F.col("url")).alias("site"))
 
 
+def _state(spark):
+    return lines.LineCounts(spark, f"{run_dir(spark)}/line-counts-{uuid.uuid4().hex}")
+
+
 def p2_found(spark, d):
-    state = lines.LineCounts(lines.MIN_PAGES)
-    crossed, own = state.merge(bodies(spark, d), sites(spark, d))
-    return lines.to_remove(own, crossed).select(F.col("page").alias("url_id"), "line_no")
+    found = _state(spark).merge(bodies(spark, d), sites(spark, d))
+    return found.removed.select(F.col("page").alias("url_id"), "line_no")
 
 
 def p2_increments(spark, d):
-    """The lines of p2_found, by three deltas of pages merged one after another."""
-    state, own = lines.LineCounts(lines.MIN_PAGES), None
+    """The lines of p2_found, by three deltas of pages merged one after another: each replaces the rows of the documents that it affects, and no others."""
+    state, rows = _state(spark), None
     part = F.pmod(F.xxhash64("page"), F.lit(3))
     for k in range(3):
-        new = state.merge(bodies(spark, d).filter(part == k), sites(spark, d))[1]
-        own = new if own is None else own.unionByName(new)
-    return lines.to_remove(own, state.crossed()).select(F.col("page").alias("url_id"), "line_no")
+        m = lines.LineCounts.open(spark, state.path).merge(bodies(spark, d).filter(part == k), sites(spark, d))
+        rows = materialize(m.removed if rows is None else rows.join(m.affected, "page", "left_anti").unionByName(m.removed), "removed")
+    return rows.select(F.col("page").alias("url_id"), "line_no")
 
 
 def p2_cleaned(spark, d):
     """Each body that lost lines, without them."""
-    state = lines.LineCounts(lines.MIN_PAGES)
-    crossed, own = state.merge(bodies(spark, d), sites(spark, d))
-    texts = bodies(spark, d).filter("body is not null").distinct()
-    out = lines.rebuild(texts, lines.to_remove(own, crossed))
+    found = _state(spark).merge(bodies(spark, d), sites(spark, d))
+    out = lines.rebuild(bodies(spark, d).filter("body is not null").distinct(), found.removed)
     return out.select(F.col("page").alias("url_id"), "body", "removed")
 
 
@@ -154,4 +158,6 @@ UNION SELECT a, b FROM sc JOIN sn x ON x.url_id = a JOIN sn y ON y.url_id = b WH
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_increments": p2_increments, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_stretches": p4_stretches, "p4_documents": p4_documents, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_statistics": p8_statistics}
 _REPEATED = _LINES + "SELECT DISTINCT url_id, CAST(line_no AS INT) AS line_no FROM norm JOIN hit USING (s, n)"
-SQL: dict[str, str] = {"p1_found": _PAIRS, "p2_found": _REPEATED, "p2_increments": _REPEATED}
+_CLEANED = _LINES + r"""SELECT b.url_id, array_to_string(list_transform(list_filter(list_zip(string_split(sval, chr(10)), range(0, len(string_split(sval, chr(10))))), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]), chr(10)) AS body, CAST(len(gone) AS INT) AS removed
+FROM body b JOIN (SELECT url_id, list(DISTINCT line_no) AS gone FROM norm JOIN hit USING (s, n) GROUP BY 1) g USING (url_id)"""
+SQL: dict[str, str] = {"p1_found": _PAIRS, "p2_found": _REPEATED, "p2_increments": _REPEATED, "p2_cleaned": _CLEANED}

@@ -36,31 +36,43 @@ def by_hand(rows, k):
     return {(p, n) for s, f, p, n in where if len(seen[s, f]) >= k}
 
 
-def removed(spark, parts, k=5):
-    state, got = lines.LineCounts(k), set()
-    everything = None
-    for rows in parts:
-        b, s = bodies_and_sites(spark, rows)
-        crossed, own = state.merge(b, s)
-        everything = own if everything is None else everything.unionByName(own)
-    got = {tuple(r) for r in lines.to_remove(everything, state.crossed()).collect()}
-    return got, crossed
-
-
-def test_deltas_are_as_one(spark):
+def removed(spark, path, parts, k=5):
+    """Rows built from the affected documents of each merge alone, each merge by a state that is opened anew; and the last merge."""
+    rows = {}
+    for part in parts:
+        m = lines.LineCounts.open(spark, path, k).merge(*bodies_and_sites(spark, part))
+        affected = {r.page for r in m.affected.collect()}
+        rows = {p: v for p, v in rows.items() if p not in affected}
+        for r in m.removed.collect():
+            assert r.page in affected
+            rows.setdefault(r.page, set()).add(r.line_no)
+    return {(p, n) for p, v in rows.items() for n in v}, m
+
+
+def test_deltas_are_as_one(spark, tmp_path):
     want = by_hand(ROWS, 5)
-    assert removed(spark, [ROWS])[0] == want
-    assert removed(spark, [ROWS[:7], ROWS[5:15], ROWS[15:] + ROWS[:3]])[0] == want
-    _, crossed = removed(spark, [ROWS, ROWS])
-    assert crossed.count() == 0  # nothing crosses anew
-    assert removed(spark, [[(1, "a", None)]])[0] == set()
+    assert removed(spark, f"file://{tmp_path}/a", [ROWS])[0] == want
+    assert removed(spark, f"file://{tmp_path}/b", [ROWS[:7], ROWS[5:15], ROWS[15:] + ROWS[:3]])[0] == want
+    _, last = removed(spark, f"file://{tmp_path}/c", [ROWS, ROWS])
+    assert last.crossed.count() == 0 and last.affected.count() == 0  # nothing crosses anew
+    assert removed(spark, f"file://{tmp_path}/d", [[(1, "a", None)]])[0] == set()
 
 
-def test_rebuild(spark):
+def test_pages_change(spark, tmp_path):
+    """A changed body replaces the one that counted: lines cross in both directions, and older documents are rebuilt; parts of counts are summed up on the way."""
+    now = {p: (p, s, t) for p, s, t in ROWS if None not in (p, s, t)}
+    merges = [ROWS]
+    for k in range(9):
+        change = [(k, "a", f"rewritten {k}\nnews of today"), (k + 10, "a", "") if k % 2 else (k + 60, "a", "only e\nnews of today")]
+        now |= {p: (p, s, t) for p, s, t in change}
+        merges.append(change)
+    assert removed(spark, f"file://{tmp_path}/s", merges)[0] == by_hand(list(now.values()), 5)
+
+
+def test_rebuild(spark, tmp_path):
     b, s = bodies_and_sites(spark, ROWS)
-    state = lines.LineCounts(5)
-    crossed, own = state.merge(b, s)
-    out = {r.page: r.body for r in lines.rebuild(b, lines.to_remove(own, crossed)).collect()}
+    m = lines.LineCounts(spark, f"file://{tmp_path}/s", 5).merge(b, s)
+    out = {r.page: r.body for r in lines.rebuild(b, m.removed).collect()}
     assert out[1] == "only b\n" and out[0] == "own line ax\r" and 50 not in out
 
 
