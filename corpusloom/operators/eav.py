@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,12 @@ def _scatter(columns: list[tuple[str, str, bool]], schema: pa.Schema, entity: st
     table = lambda d: np.array([d.get(c, -1) for c in range(len(columns) + 1)])  # noqa: E731; the last code is of other names
     slot_of, real_of = table(slots), table(reals)
 
+    def ordered(group: np.ndarray, texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        """Groups and texts in order of group and text."""
+        t = pa.table({"g": pa.array(group, pa.int64()), "t": texts})
+        t = t.take(pc.sort_indices(t, sort_keys=[("g", "ascending"), ("t", "ascending")]))
+        return np.asarray(t.column("g")), t.column("t").combine_chunks()
+
     def wide(batch: pa.Table) -> pa.RecordBatch:
         keys = batch.column("e").combine_chunks().dictionary_encode()
         row = np.asarray(keys.indices.fill_null(len(keys.dictionary)))
@@ -77,39 +84,52 @@ def _scatter(columns: list[tuple[str, str, bool]], schema: pa.Schema, entity: st
             elif c in reals:
                 out.append(pa.array(real[:, reals[c]], mask=~real_has[:, reals[c]]))
             else:
-                cells: list = [None] * n
                 mine = np.flatnonzero(code == c)
-                for r, v in zip(row[mine].tolist(), texts.take(pa.array(mine)).to_pylist()):
-                    if single:
-                        cells[r] = v if cells[r] is None else min(cells[r], v)
-                    elif cells[r] is None:
-                        cells[r] = [v]
-                    else:
-                        cells[r].append(v)
-                out.append(pa.array(cells if single else [x and sorted(x) for x in cells], field.type))
+                at, values = ordered(row[mine], texts.take(pa.array(mine)))
+                first = np.searchsorted(at, np.arange(n + 1))
+                none = first[1:] == first[:-1]
+                if single:  # the smallest
+                    out.append(values.take(pa.array(first[:-1], mask=none)).cast(field.type))
+                else:
+                    out.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values, mask=pa.array(none)).cast(field.type))
         if others:
-            rest: list[dict] = [{} for _ in range(n)]
             mine = np.flatnonzero(code == len(columns))
             at = pa.array(mine)
-            for r, k, v in zip(row[mine].tolist(), batch.column("v_name").take(at).to_pylist(), texts.take(at).to_pylist()):
-                rest[r].setdefault(k, []).append(v)
-            out.append(pa.array([[{"name": k, "values": sorted(x[k])} for k in sorted(x, key=lambda k: (k is None, k))] or None for x in rest], schema.field(OTHERS).type))
+            names = batch.column("v_name").take(at).combine_chunks().dictionary_encode()
+            rank = pc.rank(names.dictionary, sort_keys="ascending").to_numpy() if len(names.dictionary) else np.zeros(0, int)
+            key = np.append(rank, rank.max(initial=0) + 1)[np.asarray(names.indices.fill_null(len(names.dictionary)))].astype(np.int64)  # null names last
+            width = int(key.max(initial=0)) + 1
+            pair, values = ordered(row[mine] * width + key, texts.take(at))
+            start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+            inner = pa.ListArray.from_arrays(pa.array(np.r_[start, len(pair)].astype(np.int32)), values)
+            back = np.full(width + 1, len(names.dictionary))
+            back[rank.astype(int)] = np.arange(len(rank))
+            which = back[(pair[start] % width).astype(int)]
+            shown = names.dictionary.take(pa.array(which, mask=which == len(names.dictionary)))
+            kind = schema.field(OTHERS).type
+            entry = pa.StructArray.from_arrays([shown.cast(pa.string()), inner.cast(kind.value_type.field(1).type)], fields=[kind.value_type.field(0), kind.value_type.field(1)])
+            bounds = np.searchsorted(pair[start] // width, np.arange(n + 1)).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(bounds), entry, mask=pa.array(bounds[1:] == bounds[:-1])).cast(kind))
         return pa.RecordBatch.from_arrays(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size = whole = 0  # rows held, and those of them before the last entity begins
         for b in batches:
             if not b.num_rows:
                 continue
+            keys = b.column(0).dictionary_encode()
+            index = np.asarray(keys.indices.fill_null(-1))
+            goes_on = bool(held) and held[-1].column(0)[-1].as_py() == b.column(0)[0].as_py()
+            turn = np.flatnonzero(np.r_[not goes_on, index[1:] != index[:-1]])
+            if len(turn):
+                whole = size + int(turn[-1])
             held.append(b)
-            if sum(x.num_rows for x in held) < CHUNK:
-                continue
-            t = pa.Table.from_batches(held)
-            last = t.column("e")[-1].as_py()  # its rows may go on in the next batch
-            keep = next((i for i in range(t.num_rows - 1, -1, -1) if t.column("e")[i].as_py() != last), -1) + 1
-            if keep:
-                yield wide(t.slice(0, keep))
-                held = t.slice(keep).to_batches()
+            size += b.num_rows
+            if whole >= CHUNK:
+                t = pa.Table.from_batches(held)
+                yield wide(t.slice(0, whole))
+                held, size, whole = t.slice(whole).to_batches(), size - whole, 0
         if held:
             yield wide(pa.Table.from_batches(held))
 
