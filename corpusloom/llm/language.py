@@ -34,14 +34,34 @@ WORDS, FAR = 5, 0.5
 LEAD = 0.45
 #: At most so many languages.
 MAX_LANGUAGES = 64
-
-# Codes and names of languages as labels write them.
-CODES = {
-    "en": ["eng", "english"], "de": ["deu", "ger", "german", "deutsch"], "fr": ["fra", "fre", "french", "français", "francais"],
-    "es": ["spa", "spanish", "español", "espanol", "castellano"], "it": ["ita", "italian", "italiano"],
-    "pl": ["pol", "polish", "polski"], "ru": ["rus", "russian", "русский"],
+#: The common words of all languages are held by the driver, at most so many.
+MAX_COMMON = 100_000
+
+# Three-letter codes of ISO 639, in the order of the two-letter ones (two where the bibliographic code differs).
+_THREE = """
+ar ara, az aze, be bel, bg bul, bn ben, bs bos, ca cat, cs ces cze, cy cym wel, da dan, de deu ger, el ell gre, en eng, eo epo, es spa, et est, eu eus baq, fa fas per, fi fin, fr fra fre, ga gle, gl glg, he heb, hi hin,
+hr hrv, hu hun, hy hye arm, id ind, is isl ice, it ita, ja jpn, ka kat geo, kk kaz, ko kor, la lat, lt lit, lv lav, mk mkd mac, mn mon, ms msa may, mt mlt, nb nob, nl nld dut, nn nno, no nor, pl pol, pt por, ro ron rum,
+ru rus, sk slk slo, sl slv, sq sqi alb, sr srp, sv swe, sw swa, th tha, tr tur, uk ukr, ur urd, uz uzb, vi vie, zh zho chi
+"""
+# Names of languages in these languages that the names of locales lack.
+_NAMES = {
+    "de": "deutsch", "fr": "français francais", "es": "español espanol castellano", "it": "italiano", "pl": "polski", "ru": "русский", "nl": "nederlands", "pt": "português portugues", "cs": "čeština cesky", "uk": "українська ukrainian",
+    "sv": "svenska", "da": "dansk", "fi": "suomi", "hu": "magyar", "ro": "română", "tr": "türkçe", "el": "ελληνικά", "bg": "български", "ja": "日本語", "zh": "中文 chinese", "ko": "한국어", "ar": "العربية arabic", "he": "עברית",
 }
 
+
+def _codes() -> dict[str, str]:
+    """Two-letter codes by what a label may write: the code, three-letter codes, and names (those of the system's locales, in English, and the languages' own)."""
+    import locale
+
+    two = {row.split()[0]: row.split() for row in _THREE.replace("\n", " ").split(",")}
+    out = {name.lower(): code[:2] for name, code in locale.locale_alias.items() if name.isalpha() and len(name) > 3 and code[:2] in two and code[2:3] == "_"}
+    out |= {name: code for code, names in _NAMES.items() for name in names.split()}
+    return out | {name: code for code, names in two.items() for name in names}
+
+
+CODES = _codes()
+
 _LETTERS = 1 << 7
 
 
@@ -190,10 +210,9 @@ def train(texts: list[str], common: dict[str, list[str]], rounds: int = 2) -> Pr
     for turn in range(rounds + 1):  # the last turn makes the profiles, the others also tell the lines anew
         for k in range(len(languages)):
             mine = labels[t.line] == k if t is not None else np.zeros(0, bool)
-            if mine.sum() > 200:
-                ranks[:, k] = _profile(t.code[mine], t.count[mine])
-            else:  # too few lines: the common words themselves
-                ranks[:, k] = _profile(seed[k].code, seed[k].count)
+            # The common words themselves are behind the lines: they are all there is where no line has been told yet.
+            code, count = (np.r_[t.code[mine], seed[k].code], np.r_[t.count[mine], seed[k].count]) if t is not None else (seed[k].code, seed[k].count)
+            ranks[:, k] = _profile(code, count)
         if t is None or turn == rounds:
             break
         best, _ = Profiles(languages, ranks).classify(t)
@@ -209,8 +228,12 @@ def train_from(texts: DataFrame, stopwords: DataFrame, sample: int = SAMPLE) ->
     low = F.xxhash64("id") <= F.lit(min(2**63 - 1, int(bound * 2**64) - 2**63))
     rows = known.filter(low & F.col("text").isNotNull()).orderBy(F.xxhash64("id"), "id").select("text").limit(sample).collect()
     words: dict[str, list[str]] = {}
-    for r in stopwords.filter("lang is not null and word is not null").select("lang", "word").distinct().orderBy("lang", "word").limit(100_000).collect():
+    n = 0
+    for r in stopwords.filter("lang is not null and word is not null").select("lang", "word").distinct().orderBy("lang", "word").limit(MAX_COMMON + 1).collect():
         words.setdefault(r.lang.lower(), []).append(r.word)
+        n += 1
+    if n > MAX_COMMON:
+        raise ValueError(f"more than {MAX_COMMON} common words")
     if len(words) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return train([r.text for r in rows], words)
@@ -284,10 +307,10 @@ def documents(parts: DataFrame) -> DataFrame:
 
 def named_languages(label: Column) -> Column:
     """The two-letter codes that a label names, as an array: codes with or without a region, three-letter codes, names; null for a null label."""
-    table = {name: code for code, names in CODES.items() for name in (code, *names)}
-    lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    lookup = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
     parts = F.split(F.lower(label), r"[,;/|\s]+")
-    codes = F.transform(parts, lambda p: lookup[F.regexp_replace(p, r"^([^-_]*)[-_].*$", "$1")])
+    # A two-letter code that the table lacks names itself.
+    codes = F.transform(F.transform(parts, lambda p: F.regexp_replace(p, r"^([^-_]*)[-_].*$", "$1")), lambda p: F.coalesce(lookup[p], F.when(p.rlike("^[a-z]{2}$"), p)))
     return F.array_distinct(F.filter(codes, lambda c: c.isNotNull()))
 
 

@@ -24,8 +24,10 @@ from corpusloom.session import materialize
 
 #: The histogram and the plan are held by the driver, with a few entries per length.
 MAX_CAPACITY = 1 << 20
-#: Parts into which each length is cut to rank its items.
-SALTS = 64
+#: Parts at least into which each length is cut to rank its items, and items of one length in a part at most, on the mean.
+SALTS, RANKED = 64, 200_000
+#: Slots up to which the plan is broadcast, and ranks that one key of the join holds beyond.
+SLOTS, STRETCH = 100_000, 1 << 16
 
 PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("size", "first", "until", "container", "each", "offset")])
 
@@ -71,10 +73,10 @@ def plan_slots(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, i
     return slots, made
 
 
-def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "tokens", salts: int = SALTS) -> DataFrame:
+def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "tokens", salts: int | None = None) -> DataFrame:
     """Rows (key, part, start, tokens, container, offset): which stretch of which item lies where in which container.
 
-    items is read twice (histogram, assignment), so it should be a table, not an expensive plan.
+    salts: parts of each length; by default as many as the commonest length needs. items is read twice (histogram, assignment), so it should be a table, not an expensive plan.
     """
     if not 1 <= capacity <= MAX_CAPACITY:
         raise ValueError(f"a capacity has to lie between 1 and {MAX_CAPACITY}")
@@ -85,6 +87,7 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "toke
     parts = parts.select("k", "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("part") * capacity).alias("size"))
     counts = {r["size"]: r["n"] for r in _histogram(sized, whole, capacity).collect()}  # at most `capacity` rows
     slots, made = plan_slots(counts, capacity)
+    salts = salts or max(SALTS, -(-max(counts.values(), default=0) // RANKED))
     salt = F.pmod(F.xxhash64("k", "part"), F.lit(salts)).cast("int")
     salted = parts.withColumn("salt", salt)
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,10 +95,15 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "toke
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("size", "salt").orderBy("k", "part")) - 1)
     ranked = ranked.join(offsets, ["size", "salt"]).withColumn("rank", F.col("base") + F.col("r"))
     plan = spark.createDataFrame(slots, PLAN)
-    if len(slots) <= 100_000:  # at most a few per length
-        plan = F.broadcast(plan)
     at = F.col("rank") - F.col("first")
-    placed = ranked.join(plan, (ranked["size"] == plan["size"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until")))
+    inside = (ranked["size"] == plan["size"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until"))
+    if len(slots) <= SLOTS:  # at most a few per length
+        placed = ranked.join(F.broadcast(plan), inside)
+    else:  # by stretches of ranks, so that a common length is many keys
+        cut = lambda c: F.floor(c / STRETCH)
+        plan = plan.withColumn("stretch", F.explode(F.sequence(cut(F.col("first")), cut(F.col("until") - 1))))
+        inside = (ranked["size"] == plan["size"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until"))
+        placed = ranked.join(plan, inside & (cut(F.col("rank")) == F.col("stretch")))
     placed = placed.select(F.col("k").alias(key), "part", "start", ranked["size"].alias("tokens"), (F.col("container") + F.floor(at / F.col("each"))).cast("bigint").alias("container"), (F.col("offset") + F.pmod(at, F.col("each")) * ranked["size"]).cast("bigint").alias("offset"))
     nothing = F.lit(None).cast("bigint")
     empty = sized.filter("n = 0").select(F.col("k").alias(key), F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("tokens"), nothing.alias("container"), nothing.alias("offset"))
