@@ -40,6 +40,8 @@ from corpusloom.session import materialize
 VALUES, TREES, DEPTH = 256, 64, 8
 #: Levels that the stored subtries allow to shorten a prefix by, and leaves in a block of a subtrie.
 LEVELS, BLOCK = 2, 256
+#: Values of a leaf's key beyond its subtrie: prefixes that are longer still need not be told apart.
+KEY = 4
 #: Trees in which leaders of tight classes are sought, and members that a prefix must have for one.
 LEADER_TREES, HOT = 8, 32
 #: Characters worked on at once, and words whose hashes are remembered.
@@ -179,22 +181,21 @@ def _features(shape: Shape, id_type: pa.DataType, whole: bool):
 
 
 def _leaves(low: int, trees: int):
-    """For mapInArrow: (id, label, sig) to (node, key, id, label), one row for each tree; node names the tree and the first `low` values, key is the path in big-endian order."""
+    """For mapInArrow: (id, label, sig) to (node, key, id, label), one row for each tree; node names the tree and the first `low` values, key holds the next KEY ones, the first in its highest bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, VALUES)
-            wide = sig.astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, VALUES).astype(np.uint64)
             for t in range(trees):
-                node = np.full(n, t + 1, np.uint64)
+                node, key = np.full(n, t + 1, np.uint64), np.zeros(n, np.uint64)
                 for k in _PATHS[t, :low]:
-                    node = mix(node * np.uint64(0x9E3779B97F4A7C15) + wide[:, k])
-                path = np.ascontiguousarray(sig[:, _PATHS[t]].astype(">u2"))
-                key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), n, [None, pa.py_buffer(path.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), key, batch.column(0), batch.column(1)], names=["node", "key", "id", "label"])
+                    node = mix(node * np.uint64(0x9E3779B97F4A7C15) + sig[:, k])
+                for i, k in enumerate(_PATHS[t, low : low + KEY]):
+                    key |= sig[:, k] << np.uint64(16 * (KEY - 1 - i))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], names=["node", "key", "id", "label"])
 
     return run
 
@@ -214,11 +215,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, ids = part.column(3), part.column(2)
         own = np.asarray(labels)
         low, high = (f.reduceat(own, first) if len(first) else own[:0] for f in (np.minimum, np.maximum))
-        keys = pa.py_buffer(b"".join(part.column(1).to_pylist()))
         return pa.RecordBatch.from_arrays([
             part.column(0).take(pa.array(first)), pa.array(number[first].astype(np.int32)), pa.array(low, labels.type, mask=low != high),
-            pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((start * 2 * DEPTH).astype(np.int32).tobytes()), keys]),
-            pa.ListArray.from_arrays(pa.array(start), ids), pa.ListArray.from_arrays(pa.array(start), labels),
+            pa.ListArray.from_arrays(pa.array(start), part.column(1)), pa.ListArray.from_arrays(pa.array(start), ids), pa.ListArray.from_arrays(pa.array(start), labels),
         ], names=["node", "block", "label", "keys", "ids", "labels"])
 
     for b in batches:
@@ -240,13 +239,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(held, np.full(held.num_rows, carried))
 
 
-def _keys(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, ">u2").reshape(-1, DEPTH)
-
-
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The length of the common prefix of each row of x with the row of y beside it."""
-    return np.minimum.accumulate(x == y, axis=1).sum(1)
+    """The number of first values that the keys x have in common with the keys y beside them."""
+    differ = (x ^ y).view(np.uint64)
+    return sum((differ < np.uint64(1 << (16 * k))).astype(int) for k in range(1, KEY)) + (differ == 0)
 
 
 def _inside(deep: int, shallow: int, id_type: pa.DataType):
@@ -256,8 +252,7 @@ def _inside(deep: int, shallow: int, id_type: pa.DataType):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = _keys(b"".join(batch.column(0).to_pylist()))
-            ids, labels = (np.asarray(batch.column(k).flatten()) for k in (1, 2))
+            keys, ids, labels = (np.asarray(batch.column(k).flatten()) for k in (0, 1, 2))
             block = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(1).value_lengths()))
             at, step = np.arange(len(ids)), 1
             # Sorted keys: if a leaf's prefix differs from that of the one `step` behind, no later one shares it.
@@ -280,7 +275,7 @@ def _across(deep: int, shallow: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kx, ix, lx, ky, iy, ly in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y, ix, iy, lx, ly = _keys(kx), _keys(ky), *map(np.array, (ix, iy, lx, ly))
+                x, y, ix, iy, lx, ly = (np.array(c) for c in (kx, ky, ix, iy, lx, ly))
                 i, j = (k.ravel() for k in np.indices((len(ix), len(iy))))
                 m = lx[i] != ly[j]
                 i, j = i[m], j[m]
@@ -294,14 +289,14 @@ def _across(deep: int, shallow: int, id_type: pa.DataType):
 
 def _leaders(lead: DataFrame, depth: int) -> DataFrame:
     """(id, leader): for members of prefixes of more than HOT texts the least id of such a prefix."""
-    rows = lead.select("id", F.col("id").alias("label"), "sig").mapInArrow(_leaves(depth, LEADER_TREES), f"node bigint, key binary, id {lead.schema['id'].dataType.simpleString()}, label {lead.schema['id'].dataType.simpleString()}").select("node", "id")
+    rows = lead.select("id", F.col("id").alias("label"), "sig").mapInArrow(_leaves(depth, LEADER_TREES), f"node bigint, key bigint, id {lead.schema['id'].dataType.simpleString()}, label {lead.schema['id'].dataType.simpleString()}").select("node", "id")
     rows = materialize(rows, "leading")
     hot = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter(F.col("n") > HOT).select("node", "leader")
     return rows.join(hot, "node").groupBy("id").agg(F.min("leader").alias("leader")).filter("id <> leader")
 
 
 def _candidates(blocks: DataFrame, deep: int, shallow: int, arrow: pa.DataType) -> DataFrame:
-    """Pairs (a, b) of leaves of one subtrie whose level lies between: inside each block, and across each two blocks of a large one."""
+    """Pairs (a, b) of leaves of one subtrie whose level, counted from the subtrie's root, lies between: inside each block, and across each two blocks of a large one."""
     pair = f"a {arrow_name(arrow)}, b {arrow_name(arrow)}"
     inside = blocks.filter("label is null").select("keys", "ids", "labels").mapInArrow(_inside(deep, shallow, arrow), pair)
     many = blocks.filter("block > 0").select("node").distinct()
@@ -355,7 +350,7 @@ def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor:
     reps = one.groupBy("set_hash", "n").agg(F.min("id").alias("rep"))
     classes = materialize(one.join(reps, ["set_hash", "n"]).select("id", "rep", "set_hash"), "classes")
     chosen = classes.filter("id = rep").select("id", "set_hash")
-    lead = features.join(chosen, ["id", "set_hash"], "left_semi").dropDuplicates(["id"])
+    lead = materialize(features.join(chosen, ["id", "set_hash"], "left_semi").select("id", "sig", "sketch").dropDuplicates(["id"]), "lead")
     sketches = lead.select("id", "sketch")
     least = shape.threshold - 4 * 2 * (0.25 * (1 - shape.threshold**2) / VALUES) ** 0.5
     depth = max(d for d in range(1, DEPTH + 1) if d == 1 or chance(shape.threshold, d) >= floor)
@@ -374,9 +369,9 @@ def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor:
     while True:
         if blocks is None or depth < low:
             low = max(1, depth - LEVELS)
-            sorted_ = leaves.mapInArrow(_leaves(low, TREES), f"node bigint, key binary, id {own}, label {own}").repartition("node").sortWithinPartitions("node", "key")
-            blocks = materialize(sorted_.mapInArrow(_blocks, f"node bigint, block int, label {own}, keys binary, ids array<{own}>, labels array<{own}>"), "subtries")
-        pairs = _candidates(blocks, deep, depth, arrow)
+            sorted_ = leaves.mapInArrow(_leaves(low, TREES), f"node bigint, key bigint, id {own}, label {own}").repartition("node").sortWithinPartitions("node", "key")
+            blocks = materialize(sorted_.mapInArrow(_blocks, f"node bigint, block int, label {own}, keys array<bigint>, ids array<{own}>, labels array<{own}>"), "subtries")
+        pairs = _candidates(blocks, KEY if deep == DEPTH else deep - low, depth - low, arrow)
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("kb")), "b")
