@@ -748,7 +748,9 @@ def ciphers(cases: DataFrame, chosen: DataFrame, by_group: list[Model]) -> DataF
         out = pd.DataFrame([(x, k, [chr(c) for c in t], list(t.values())) for x, k, t in found], columns=["source", "swap", "signs", "letters"])
         return out.astype({"swap": "Int32"})
 
-    return counted.groupBy("source", "group").applyInPandas(fit, "source string, swap int, signs array<string>, letters array<string>")
+    # Little data but much work for each source: the sources are dealt to as many tasks as there are, not joined up by size.
+    tasks = max(64, int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return counted.repartition(tasks, "source", "group").groupBy("source", "group").applyInPandas(fit, "source string, swap int, signs array<string>, letters array<string>")
 
 
 @dataclass
