@@ -62,6 +62,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that materialize wrote and that no plan reads any more. Of other tables nothing is deleted."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if f"/corpusloom/{spark.sparkContext.applicationId}/" in folder:
+            _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Delete every table written by materialize in this session."""
     _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), run_dir(spark))
