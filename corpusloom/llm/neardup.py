@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import discard, materialize
 
 #: MinHash values in a signature, trees, and values in a tree's longest prefix.
 VALUES, TREES, DEPTH = 256, 64, 8
@@ -351,6 +351,7 @@ def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor:
     classes = materialize(one.join(reps, ["set_hash", "n"]).select("id", "rep", "set_hash"), "classes")
     chosen = classes.filter("id = rep").select("id", "set_hash")
     lead = materialize(features.join(chosen, ["id", "set_hash"], "left_semi").select("id", "sig", "sketch").dropDuplicates(["id"]), "lead")
+    discard(features)  # classes and lead hold what goes on
     sketches = lead.select("id", "sketch")
     least = shape.threshold - 4 * 2 * (0.25 * (1 - shape.threshold**2) / VALUES) ** 0.5
     depth = max(d for d in range(1, DEPTH + 1) if d == 1 or chance(shape.threshold, d) >= floor)
@@ -369,7 +370,10 @@ def near_duplicates(texts: DataFrame, shape: Shape, target: float = 0.99, floor:
     while True:
         if blocks is None or depth < low:
             low = max(1, depth - LEVELS)
-            sorted_ = leaves.mapInArrow(_leaves(low, TREES), f"node bigint, key bigint, id {own}, label {own}").repartition("node").sortWithinPartitions("node", "key")
+            sorted_ = leaves.mapInArrow(_leaves(low, TREES), f"node bigint, key bigint, id {own}, label {own}")
+            if tight is None:  # then each label is the id: it need not be shuffled
+                sorted_ = sorted_.select("node", "key", "id")
+            sorted_ = sorted_.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "id", F.col("id" if tight is None else "label").alias("label"))
             blocks = materialize(sorted_.mapInArrow(_blocks, f"node bigint, block int, label {own}, keys array<bigint>, ids array<{own}>, labels array<{own}>"), "subtries")
         pairs = _candidates(blocks, KEY if deep == DEPTH else deep - low, depth - low, arrow)
         if known is not None:
