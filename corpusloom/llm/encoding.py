@@ -56,7 +56,8 @@ HOPELESS = 60.0
 TIMES = 3
 
 
-def decoded(page: str) -> list[str]:
+@lru_cache(None)
+def decoded(page: str) -> tuple[str, ...]:
     """The signs of the 256 bytes; bytes without one are C1 controls."""
     out = []
     for b in range(256):
@@ -64,7 +65,7 @@ def decoded(page: str) -> list[str]:
             out.append(bytes([b]).decode(page))
         except UnicodeDecodeError:
             out.append(chr(b))
-    return out
+    return tuple(out)
 
 
 @dataclass(frozen=True)
@@ -455,12 +456,9 @@ class _WordGains(dict):
         return value
 
 
-_BLANKS = str.maketrans("\t\r\n", "   ")
-
-
 def words_of(text: str) -> set[str]:
     """The different words with a sign beyond ASCII: a word that a text repeats proves no more than one."""
-    return {w for w in text.translate(_BLANKS).split(" ") if not w.isascii()}
+    return {w for w in text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if not w.isascii()}
 
 
 @lru_cache(1 << 17)
